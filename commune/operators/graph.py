@@ -74,9 +74,15 @@ class Level:
     partitions: int
     hot_rows: int
     hot_members: int
+    salted: bool
+
+    @property
+    def msg_keys(self) -> list[str]:
+        """Join keys of the message join: ``nbr`` alone unless some vertex is a hub."""
+        return ["nbr", "salt"] if self.salted else ["nbr"]
 
     def release(self) -> None:
-        for df in (self.edges, self.sym, self.vert):
+        for df in (self.sym, self.vert, self.hubs):
             df.unpersist()
 
 
@@ -88,7 +94,6 @@ def build_level(edges: DataFrame, partitions: int, total_vertices: int | None =
     every vertex has int_n = 1, int_w = 0 and out_w = its weighted degree.
     """
     P = partitions
-    edges = materialize(edges.repartition(P, "src", "dst"))
     sym0 = symmetrize(edges, P)  # partitioned by id
     deg = sym0.groupBy("id").agg(F.count(F.lit(1)).alias("deg_cnt"), F.sum("w").alias("degree"))
     if vertex_attrs is None:
@@ -109,15 +114,21 @@ def build_level(edges: DataFrame, partitions: int, total_vertices: int | None =
         vert.where(F.col("deg_cnt") > hot_rows)
         .select("id", F.ceil(F.col("deg_cnt") / F.lit(share)).cast("int").alias("salts"))
         .coalesce(1))
-    hub_salt = hubs.select(F.col("id").alias("nbr"), "salts")
-    sym = (sym0.join(vert.select("id", "out_w", "int_n", "int_w"), "id")
-           .join(F.broadcast(hub_salt), "nbr", "left")
-           .select("id", "nbr", "w", "out_w", "int_n", "int_w",
-                   F.when(F.col("salts").isNull(), F.lit(0))
-                   .otherwise(F.pmod(F.xxhash64("id"), F.col("salts"))).cast("int").alias("salt")))
-    sym = materialize(sym.repartition(P, "nbr", "salt"))
+    salted = hubs.count() > 0
+    sym = sym0.join(vert.select("id", "out_w", "int_n", "int_w"), "id")
+    if salted:
+        # A hub's rows are spread over ``salts`` partitions by a hash of the other end.
+        hub_salt = hubs.select(F.col("id").alias("nbr"), "salts")
+        sym = sym.join(F.broadcast(hub_salt), "nbr", "left").select(
+            "id", "nbr", "w", "out_w", "int_n", "int_w",
+            F.when(F.col("salts").isNull(), F.lit(0))
+            .otherwise(F.pmod(F.xxhash64("id"), F.col("salts"))).cast("int").alias("salt"))
+        sym = materialize(sym.repartition(P, "nbr", "salt"))
+    else:
+        sym = materialize(sym.select("id", "nbr", "w", "out_w", "int_n", "int_w").repartition(P, "nbr"))
     return Level(edges=edges, sym=sym, vert=vert, hubs=hubs, vertices=n_vertices, sym_rows=sym_rows,
-                 total_vertices=total_vertices, partitions=P, hot_rows=hot_rows, hot_members=hot_members)
+                 total_vertices=total_vertices, partitions=P, hot_rows=hot_rows, hot_members=hot_members,
+                 salted=salted)
 
 
 def singleton_assignment(level: Level) -> DataFrame:

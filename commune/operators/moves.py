@@ -28,6 +28,9 @@ LONG_MAX = 9223372036854775807
 
 def _assignment_targets(level: Level, assign: DataFrame) -> DataFrame:
     """Assignment rows keyed like ``sym``: hub vertices are replicated once per salt."""
+    if not level.salted:
+        return assign.select(F.col("id").alias("nbr"), F.col("community").alias("c")).repartition(
+            level.partitions, "nbr")
     salted = assign.select("id", "community").join(F.broadcast(level.hubs), "id", "left")
     salt = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)) - 1))
     return (salted.select(F.col("id").alias("nbr"), F.col("community").alias("c"), salt.alias("salt"))
@@ -36,7 +39,7 @@ def _assignment_targets(level: Level, assign: DataFrame) -> DataFrame:
 
 def incident(level: Level, assign: DataFrame) -> DataFrame:
     """(id, c, inc_w, out_w, int_n, int_w): weight from vertex id to community c."""
-    msgs = level.sym.join(_assignment_targets(level, assign), ["nbr", "salt"])
+    msgs = level.sym.join(_assignment_targets(level, assign), level.msg_keys)
     return msgs.groupBy("id", "c").agg(
         F.sum("w").alias("inc_w"), F.max("out_w").alias("out_w"), F.max("int_n").alias("int_n"),
         F.max("int_w").alias("int_w"))
@@ -114,7 +117,7 @@ def decide(level: Level, assign: DataFrame, flagged: DataFrame, stats: DataFrame
     stay = stay_gain(F.col("n"), F.col("a"), F.col("t"), F.coalesce(F.col("inc_own"), F.lit(0).cast("bigint")),
                      F.col("out_w"), F.col("int_n"), F.col("int_w"), N)
     own_value = F.when(F.col("inc_own").isNotNull(), F.greatest(stay, F.lit(0.0))).otherwise(stay)
-    v = v.withColumn("stay", stay).withColumn("own_value", own_value)
+    v = v.select("id", "community", "best_gain", "best_c", stay.alias("stay"), own_value.alias("own_value"))
     own_tb = F.when(F.col("own_value") > 0, F.col("community")).otherwise(F.lit(LONG_MAX))
     take = F.col("best_c").isNotNull() & (
         (F.col("best_gain") > F.col("own_value"))

@@ -11,6 +11,7 @@ import time
 from dataclasses import dataclass, field
 from typing import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,11 +63,18 @@ def observe(level: Level, assign: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def half_pass(spark: SparkSession, level: Level, assign: DataFrame, stats: DataFrame | None, down: bool,
-              communities_bound: int) -> DataFrame:
-    """New assignment after one half-pass (lazy). ``stats`` overrides the computed statistics."""
-    flagged, computed = observe(level, assign)
-    use = computed if stats is None else stats
-    return moves.decide(level, assign, flagged, use, down, _broadcast_ok(spark, communities_bound))
+              communities_bound: int) -> tuple[DataFrame, DataFrame]:
+    """New assignment after one half-pass (lazy) and the cached incident table to release.
+
+    The incident table feeds three consumers (statistics, own weight, candidates) that
+    need different columns, so it is cached for the half-pass rather than recomputed;
+    its lineage is short (checkpointed ``sym`` and assignment), so a lost block is cheap.
+    ``stats`` overrides the computed statistics.
+    """
+    flagged, _ = observe(level, assign)
+    flagged = flagged.persist(StorageLevel.MEMORY_AND_DISK)
+    use = moves.community_stats(level, assign, flagged) if stats is None else stats
+    return moves.decide(level, assign, flagged, use, down, _broadcast_ok(spark, communities_bound)), flagged
 
 
 def local_moving(spark: SparkSession, level: Level, level_no: int, min_progress: int = 1,
@@ -86,9 +94,10 @@ def local_moving(spark: SparkSession, level: Level, level_no: int, min_progress:
     while True:
         k += 1
         down = not down
-        new_assign = half_pass(spark, level, assign, stats_override, down, bound)
+        new_assign, flagged = half_pass(spark, level, assign, stats_override, down, bound)
         stats_override = None
         new_assign = materialize(new_assign.repartition(level.partitions, "id"))
+        flagged.unpersist()
         row = new_assign.agg(F.count_if(F.col("changed")).alias("m"),
                              F.count_distinct(F.col("community")).alias("c")).first()
         m, bound = int(row["m"]), int(row["c"])
@@ -183,11 +192,16 @@ def detect(spark: SparkSession, edges: DataFrame, min_progress: int = 2000, prog
         if improved:
             best = out.reported_score
             nxt = compress(level, out, hot_floor)
+            level.release()
             level = nxt
         else:
             break
     if on_final is not None:
         on_final(level_no, best, states[-1])
+    for o in outcomes:
+        for df in (o.assign, o.flagged, o.stats):
+            df.unpersist()
+    level.release()
     best_idx = max(range(len(outcomes)), key=lambda i: (outcomes[i].reported_score, -i))
     rows = [(o.level, o.score, o.reported_score, o.passes, o.communities, i == best_idx)
             for i, o in enumerate(outcomes)]
