@@ -47,3 +47,24 @@ def stay_gain(n: Column, a: Column, t: Column, inc_own: Column, out_w: Column, i
     """S of the own community minus S of the own community without the vertex."""
     without = ceil_score(n - int_n, a - int_w - inc_own, t - out_w - int_w + inc_own, total_vertices)
     return ceil_score(n, a, t, total_vertices) - without
+
+
+# SQL-text forms of the same expressions (identical operation order). Internal hot paths
+# build each gain with one ``F.expr`` call instead of dozens of Column calls.
+
+def score_sql(n: str, a: str, t: str, total_vertices: int) -> str:
+    d = lambda x: f"CAST(({x}) AS DOUBLE)"
+    return (f"(CASE WHEN ({n}) <= 1 OR ({t}) = 0 THEN 0.0D ELSE "
+            f"(2.0D * {d(a)} * {d(a)}) / (({d(n)} - 1.0D) * {d(t)} * {float(total_vertices)!r}D) END)")
+
+
+def join_gain_sql(n: str, a: str, t: str, inc: str, out_w: str, int_n: str, int_w: str, total_vertices: int) -> str:
+    after = score_sql(f"{n} + {int_n}", f"{a} + {inc} + {int_w}", f"{t} + {out_w} - {inc} + {int_w}", total_vertices)
+    return f"({after} - {score_sql(n, a, t, total_vertices)})"
+
+
+def stay_gain_sql(n: str, a: str, t: str, inc_own: str, out_w: str, int_n: str, int_w: str,
+                  total_vertices: int) -> str:
+    without = score_sql(f"{n} - {int_n}", f"{a} - {int_w} - {inc_own}", f"{t} - {out_w} - {int_w} + {inc_own}",
+                        total_vertices)
+    return f"({score_sql(n, a, t, total_vertices)} - {without})"

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from commune.functions.score import ceil_score, join_gain, reported_score, stay_gain
+from commune.functions.score import ceil_score, join_gain_sql, reported_score, stay_gain_sql
 from commune.operators.graph import Level
 from commune.operators.skew import lookup
 
@@ -82,8 +82,7 @@ def candidates(level: Level, flagged: DataFrame, stats: DataFrame, broadcast_sta
     dim = stats.select(F.col("community").alias("c"), F.col("n").alias("cn"), F.col("a").alias("ca"),
                        F.col("t").alias("ct"), "hot")
     joined = lookup(cand, dim, "c", broadcast_all=broadcast_stats)
-    gain = join_gain(F.col("cn"), F.col("ca"), F.col("ct"), F.col("inc_w"), F.col("out_w"), F.col("int_n"),
-                     F.col("int_w"), N)
+    gain = F.expr(join_gain_sql("cn", "ca", "ct", "inc_w", "out_w", "int_n", "int_w", N))
     return joined.select("id", "c", "inc_w", gain.alias("gain"))
 
 
@@ -114,8 +113,7 @@ def decide(level: Level, assign: DataFrame, flagged: DataFrame, stats: DataFrame
     own_inc = flagged.where("own").select("id", F.col("inc_w").alias("inc_own"))
     v = vertex_view(level, assign.select("id", "community"), stats, broadcast_stats)
     v = v.join(own_inc, "id", "left").join(best, "id", "left")
-    stay = stay_gain(F.col("n"), F.col("a"), F.col("t"), F.coalesce(F.col("inc_own"), F.lit(0).cast("bigint")),
-                     F.col("out_w"), F.col("int_n"), F.col("int_w"), N)
+    stay = F.expr(stay_gain_sql("n", "a", "t", "coalesce(inc_own, 0L)", "out_w", "int_n", "int_w", N))
     own_value = F.when(F.col("inc_own").isNotNull(), F.greatest(stay, F.lit(0.0))).otherwise(stay)
     v = v.select("id", "community", "best_gain", "best_c", stay.alias("stay"), own_value.alias("own_value"))
     own_tb = F.when(F.col("own_value") > 0, F.col("community")).otherwise(F.lit(LONG_MAX))

@@ -71,8 +71,7 @@ def half_pass(spark: SparkSession, level: Level, assign: DataFrame, stats: DataF
     its lineage is short (checkpointed ``sym`` and assignment), so a lost block is cheap.
     ``stats`` overrides the computed statistics.
     """
-    flagged, _ = observe(level, assign)
-    flagged = flagged.persist(StorageLevel.MEMORY_AND_DISK)
+    flagged = moves.flag_own(moves.incident(level, assign), assign).persist(StorageLevel.MEMORY_AND_DISK)
     use = moves.community_stats(level, assign, flagged) if stats is None else stats
     return moves.decide(level, assign, flagged, use, down, _broadcast_ok(spark, communities_bound)), flagged
 
@@ -110,8 +109,7 @@ def local_moving(spark: SparkSession, level: Level, level_no: int, min_progress:
             last = moved
         if not (stop <= progress_counter and (down or (moved > 0 and k < max_half_passes))):
             break
-    flagged, stats = observe(level, assign)
-    flagged = materialize(flagged)
+    flagged = materialize(moves.flag_own(moves.incident(level, assign), assign))
     stats = materialize(moves.community_stats(level, assign, flagged))
     totals = moves.score_totals(level, stats).first()
     return LevelOutcome(level=level_no, assign=assign, flagged=flagged, stats=stats, passes=k // 2,
