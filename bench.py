@@ -68,7 +68,7 @@ def main() -> None:
         a = materialize(singleton_assignment(lv).repartition(P, "id"))
         new, fl = half_pass(spark, lv, a, moves.with_hot(lv, initial_stats(lv)), True, lv.vertices)
         materialize(new.repartition(P, "id")).agg(F.count_if("changed")).first()
-        fl.unpersist()
+        [df.unpersist() for df in fl]
 
     timed("half_pass_copart", one_half_pass)
 

@@ -39,7 +39,9 @@ def _assignment_targets(level: Level, assign: DataFrame) -> DataFrame:
 
 def incident(level: Level, assign: DataFrame) -> DataFrame:
     """(id, c, inc_w, out_w, int_n, int_w): weight from vertex id to community c."""
-    msgs = level.sym.join(_assignment_targets(level, assign), level.msg_keys)
+    # Hash join built on the assignment side (V rows): the 2E-row ``sym`` is streamed,
+    # neither shuffled nor sorted.
+    msgs = level.sym.join(_assignment_targets(level, assign).hint("shuffle_hash"), level.msg_keys)
     return msgs.groupBy("id", "c").agg(
         F.sum("w").alias("inc_w"), F.max("out_w").alias("out_w"), F.max("int_n").alias("int_n"),
         F.max("int_w").alias("int_w"))
@@ -48,7 +50,7 @@ def incident(level: Level, assign: DataFrame) -> DataFrame:
 def flag_own(inc: DataFrame, assign: DataFrame) -> DataFrame:
     """Adds ``own``: true on the row of the vertex's own community."""
     own = assign.select("id", F.col("community").alias("c"), F.lit(True).alias("own"))
-    return inc.join(own, ["id", "c"], "left").withColumn("own", F.coalesce(F.col("own"), F.lit(False)))
+    return inc.join(own.hint("shuffle_hash"), ["id", "c"], "left").withColumn("own", F.coalesce(F.col("own"), F.lit(False)))
 
 
 def community_stats(level: Level, assign: DataFrame, flagged: DataFrame) -> DataFrame:

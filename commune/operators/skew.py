@@ -34,5 +34,5 @@ def lookup(facts: DataFrame, dim: DataFrame, key: str, hot_col: str = "hot", bro
     cold = dim.where(~F.col(hot_col)).select(*dim_cols)
     marked = facts.join(F.broadcast(hot.select(key, F.lit(True).alias("_hot_key"))), key, "left")
     via_broadcast = marked.where(F.col("_hot_key").isNotNull()).drop("_hot_key").join(F.broadcast(hot), key)
-    via_shuffle = marked.where(F.col("_hot_key").isNull()).drop("_hot_key").join(cold, key)
+    via_shuffle = marked.where(F.col("_hot_key").isNull()).drop("_hot_key").join(cold.hint("shuffle_hash"), key)
     return via_broadcast.unionByName(via_shuffle)

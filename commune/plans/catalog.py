@@ -213,10 +213,11 @@ def _half_passes(spark, sf_dir, k):
     assign = materialize(singleton_assignment(lv).repartition(lv.partitions, "id"))
     stats = moves.with_hot(lv, initial_stats(lv))
     for i in range(k):
-        new, flagged = half_pass(spark, lv, assign, stats if i == 0 else None, down=(i % 2 == 0),
-                                 communities_bound=lv.vertices)
+        new, cached = half_pass(spark, lv, assign, stats if i == 0 else None, down=(i % 2 == 0),
+                                communities_bound=lv.vertices)
         assign = materialize(new.repartition(lv.partitions, "id"))
-        flagged.unpersist()
+        for df in cached:
+            df.unpersist()
     return assign
 
 

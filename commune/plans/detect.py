@@ -63,8 +63,8 @@ def observe(level: Level, assign: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def half_pass(spark: SparkSession, level: Level, assign: DataFrame, stats: DataFrame | None, down: bool,
-              communities_bound: int) -> tuple[DataFrame, DataFrame]:
-    """New assignment after one half-pass (lazy) and the cached incident table to release.
+              communities_bound: int) -> tuple[DataFrame, list[DataFrame]]:
+    """New assignment after one half-pass (lazy) and the cached tables to release after it.
 
     The incident table feeds three consumers (statistics, own weight, candidates) that
     need different columns, so it is cached for the half-pass rather than recomputed;
@@ -72,8 +72,11 @@ def half_pass(spark: SparkSession, level: Level, assign: DataFrame, stats: DataF
     ``stats`` overrides the computed statistics.
     """
     flagged = moves.flag_own(moves.incident(level, assign), assign).persist(StorageLevel.MEMORY_AND_DISK)
-    use = moves.community_stats(level, assign, flagged) if stats is None else stats
-    return moves.decide(level, assign, flagged, use, down, _broadcast_ok(spark, communities_bound)), flagged
+    # The statistics (at most one row per vertex) feed the hot-key list and two lookups:
+    # cached too, so the aggregate runs once.
+    use = (moves.community_stats(level, assign, flagged) if stats is None else stats).persist(
+        StorageLevel.MEMORY_AND_DISK)
+    return moves.decide(level, assign, flagged, use, down, _broadcast_ok(spark, communities_bound)), [flagged, use]
 
 
 def local_moving(spark: SparkSession, level: Level, level_no: int, min_progress: int = 1,
@@ -93,10 +96,11 @@ def local_moving(spark: SparkSession, level: Level, level_no: int, min_progress:
     while True:
         k += 1
         down = not down
-        new_assign, flagged = half_pass(spark, level, assign, stats_override, down, bound)
+        new_assign, cached = half_pass(spark, level, assign, stats_override, down, bound)
         stats_override = None
         new_assign = materialize(new_assign.repartition(level.partitions, "id"))
-        flagged.unpersist()
+        for df in cached:
+            df.unpersist()
         row = new_assign.agg(F.count_if(F.col("changed")).alias("m"),
                              F.count_distinct(F.col("community")).alias("c")).first()
         m, bound = int(row["m"]), int(row["c"])
