@@ -24,8 +24,8 @@ BRAND = ("SELECT CAST(p_partkey AS BIGINT) AS id, "
          "CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS BIGINT) AS community FROM part")
 REGION = "SELECT CAST(n_nationkey AS BIGINT) AS id, CAST(n_regionkey AS BIGINT) AS community FROM nation"
 
-# Keys whose statements are too slow for DuckDB on whole tables: checked against fixtures instead.
-MULTILEVEL_KEYS = ("multilevel", "membership", "community_members")
+# Keys without a statement (none at present).
+MULTILEVEL_KEYS: tuple[str, ...] = ()
 
 # Unrolled half-pass counts on the sf0.01 tables.
 PART_SUPP_LEVEL0_HALF_PASSES_DEFAULT = 4      # (2000, 1)
@@ -76,24 +76,34 @@ def own_sql(inc: str, assign: str) -> str:
     return f"SELECT i.id, i.inc_w AS inc_own FROM {inc} i JOIN {assign} x ON i.id = x.id AND i.c = x.community"
 
 
-def stats_sql(assign: str, vert: str, own: str) -> str:
-    return (f"SELECT x.community, CAST(sum(v.int_n) AS BIGINT) AS n, "
-            f"CAST(sum(v.int_w) + sum(coalesce(o.inc_own, 0)) // 2 AS BIGINT) AS a, "
-            f"CAST(sum(v.int_w + v.out_w) - sum(coalesce(o.inc_own, 0)) // 2 AS BIGINT) AS t "
-            f"FROM {assign} x JOIN {vert} v ON x.id = v.id LEFT JOIN {own} o ON x.id = o.id GROUP BY x.community")
+def xv_sql(assign: str, vert: str) -> str:
+    """Assignment with the vertex constants (one two-way join per CTE keeps DuckDB's join
+    order fixed; its reordering of the longer chains does not finish)."""
+    return (f"SELECT x.id, x.community, v.out_w, v.int_n, v.int_w FROM {assign} x JOIN {vert} v ON x.id = v.id")
+
+
+def stats_sql(xv: str, own: str) -> str:
+    return (f"SELECT x.community, CAST(sum(x.int_n) AS BIGINT) AS n, "
+            f"CAST(sum(x.int_w) + sum(coalesce(o.inc_own, 0)) // 2 AS BIGINT) AS a, "
+            f"CAST(sum(x.int_w + x.out_w) - sum(coalesce(o.inc_own, 0)) // 2 AS BIGINT) AS t "
+            f"FROM {xv} x LEFT JOIN {own} o ON x.id = o.id GROUP BY x.community")
 
 
 def initial_stats_sql(vert: str) -> str:
     return (f"SELECT id AS community, CAST(1 AS BIGINT) AS n, CAST(0 AS BIGINT) AS a, out_w AS t FROM {vert}")
 
 
-def cand_sql(inc: str, assign: str, vert: str, stats: str) -> str:
+def cand_rows_sql(inc: str, xv: str) -> str:
+    return (f"SELECT i.id, i.c, i.inc_w, x.out_w, x.int_n, x.int_w FROM {inc} i JOIN {xv} x ON i.id = x.id "
+            f"WHERE i.c <> x.community")
+
+
+def cand_sql(rows: str, stats: str) -> str:
     N = "nn.n_total"
-    after = score("s.n + v.int_n", "s.a + i.inc_w + v.int_w", "s.t + v.out_w - i.inc_w + v.int_w", N)
+    after = score("s.n + i.int_n", "s.a + i.inc_w + i.int_w", "s.t + i.out_w - i.inc_w + i.int_w", N)
     before = score("s.n", "s.a", "s.t", N)
-    return (f"SELECT i.id, i.c, i.inc_w, ({after} - {before}) AS gain FROM {inc} i "
-            f"JOIN {assign} x ON i.id = x.id JOIN {vert} v ON i.id = v.id JOIN {stats} s ON s.community = i.c "
-            f"CROSS JOIN nn WHERE i.c <> x.community")
+    return (f"SELECT i.id, i.c, i.inc_w, ({after} - {before}) AS gain FROM {rows} i "
+            f"JOIN {stats} s ON s.community = i.c CROSS JOIN nn")
 
 
 def best_sql(cand: str) -> str:
@@ -101,15 +111,39 @@ def best_sql(cand: str) -> str:
             f"(PARTITION BY id ORDER BY gain DESC, c DESC) AS rn FROM {cand}) WHERE rn = 1")
 
 
-def decision_sql(assign: str, vert: str, stats: str, own: str, best: str) -> str:
+def own_stats_sql(xv: str, stats: str) -> str:
+    return (f"SELECT x.id, x.community, x.out_w, x.int_n, x.int_w, s.n, s.a, s.t FROM {xv} x "
+            f"JOIN {stats} s ON s.community = x.community")
+
+
+def with_own_sql(xs: str, own: str) -> str:
+    return f"SELECT x.*, o.inc_own FROM {xs} x LEFT JOIN {own} o ON x.id = o.id"
+
+
+def decision_sql(xso: str, best: str) -> str:
     N = "nn.n_total"
-    inc = "coalesce(o.inc_own, 0)"
-    stay = (f"({score('s.n', 's.a', 's.t', N)} - "
-            f"{score('s.n - v.int_n', f's.a - v.int_w - {inc}', f's.t - v.out_w - v.int_w + {inc}', N)})")
+    inc = "coalesce(x.inc_own, 0)"
+    stay = (f"({score('x.n', 'x.a', 'x.t', N)} - "
+            f"{score('x.n - x.int_n', f'x.a - x.int_w - {inc}', f'x.t - x.out_w - x.int_w + {inc}', N)})")
     return (f"SELECT x.id, x.community, b.best_c, b.best_gain, {stay} AS stay, "
-            f"CASE WHEN o.inc_own IS NOT NULL THEN greatest({stay}, CAST(0 AS DOUBLE)) ELSE {stay} END AS own_value "
-            f"FROM {assign} x JOIN {vert} v ON x.id = v.id JOIN {stats} s ON s.community = x.community "
-            f"LEFT JOIN {own} o ON x.id = o.id LEFT JOIN {best} b ON x.id = b.id CROSS JOIN nn")
+            f"CASE WHEN x.inc_own IS NOT NULL THEN greatest({stay}, CAST(0 AS DOUBLE)) ELSE {stay} END AS own_value "
+            f"FROM {xso} x LEFT JOIN {best} b ON x.id = b.id CROSS JOIN nn")
+
+
+def half_pass_ctes(ctes: list[tuple[str, str]], p: str, sym: str, vert: str, prev: str,
+                   stats: str | None) -> str:
+    """CTEs of one half-pass from assignment ``prev``; returns the decision CTE name."""
+    ctes.append((f"{p}_inc", inc_sql(sym, prev)))
+    ctes.append((f"{p}_own", own_sql(f"{p}_inc", prev)))
+    ctes.append((f"{p}_xv", xv_sql(prev, vert)))
+    ctes.append((f"{p}_st", stats if stats is not None else stats_sql(f"{p}_xv", f"{p}_own")))
+    ctes.append((f"{p}_rows", cand_rows_sql(f"{p}_inc", f"{p}_xv")))
+    ctes.append((f"{p}_cand", cand_sql(f"{p}_rows", f"{p}_st")))
+    ctes.append((f"{p}_best", best_sql(f"{p}_cand")))
+    ctes.append((f"{p}_xs", own_stats_sql(f"{p}_xv", f"{p}_st")))
+    ctes.append((f"{p}_xso", with_own_sql(f"{p}_xs", f"{p}_own")))
+    ctes.append((f"{p}_dec", decision_sql(f"{p}_xso", f"{p}_best")))
+    return f"{p}_dec"
 
 
 def target_expr() -> str:
@@ -131,16 +165,8 @@ def unrolled_level(ctes: list[tuple[str, str]], tag: str, sym: str, vert: str, s
     prev = start_assign
     for k in range(1, half_passes + 1):
         p = f"{tag}h{k}"
-        ctes.append((f"{p}_inc", inc_sql(sym, prev)))
-        ctes.append((f"{p}_own", own_sql(f"{p}_inc", prev)))
-        if k == 1 and first_stats is not None:
-            ctes.append((f"{p}_st", first_stats))
-        else:
-            ctes.append((f"{p}_st", stats_sql(prev, vert, f"{p}_own")))
-        ctes.append((f"{p}_cand", cand_sql(f"{p}_inc", prev, vert, f"{p}_st")))
-        ctes.append((f"{p}_best", best_sql(f"{p}_cand")))
-        ctes.append((f"{p}_dec", decision_sql(prev, vert, f"{p}_st", f"{p}_own", f"{p}_best")))
-        ctes.append((f"{p}_a", next_assign_sql(f"{p}_dec", down=(k % 2 == 1))))
+        dec = half_pass_ctes(ctes, p, sym, vert, prev, first_stats if k == 1 else None)
+        ctes.append((f"{p}_a", next_assign_sql(dec, down=(k % 2 == 1))))
         prev = f"{p}_a"
     return prev
 
@@ -148,7 +174,8 @@ def unrolled_level(ctes: list[tuple[str, str]], tag: str, sym: str, vert: str, s
 def final_stats(ctes: list[tuple[str, str]], tag: str, sym: str, vert: str, assign: str) -> str:
     ctes.append((f"{tag}f_inc", inc_sql(sym, assign)))
     ctes.append((f"{tag}f_own", own_sql(f"{tag}f_inc", assign)))
-    ctes.append((f"{tag}f_st", stats_sql(assign, vert, f"{tag}f_own")))
+    ctes.append((f"{tag}f_xv", xv_sql(assign, vert)))
+    ctes.append((f"{tag}f_st", stats_sql(f"{tag}f_xv", f"{tag}f_own")))
     return f"{tag}f_st"
 
 
@@ -255,15 +282,17 @@ def statements() -> dict[str, str]:
 
     # --- single half-pass operators on a fixed labelling (brand of each part) -------------
     brand = L0(COPART_ADJ) + [("lab", f"SELECT b.id, b.community FROM ({BRAND}) b JOIN v0 ON b.id = v0.id")]
-    brand += [("inc", inc_sql("sym0", "lab")), ("own", own_sql("inc", "lab")), ("st", stats_sql("lab", "v0", "own"))]
+    brand += [("inc", inc_sql("sym0", "lab")), ("own", own_sql("inc", "lab")), ("xv", xv_sql("lab", "v0")),
+              ("st", stats_sql("xv", "own"))]
     q["incident"] = _with(brand, "SELECT id, c AS community, inc_w FROM inc")
     q["community_stats"] = _with(brand, "SELECT community, n, a, t FROM st")
     q["state_with_stats"] = _with(brand, "SELECT x.id, x.community, s.n, s.a, s.t FROM lab x JOIN st s ON x.community = s.community")
     N = "(SELECT n_total FROM nn)"
     q["community_score"] = _with(brand, f"SELECT community, {score('n', 'a', 't', N)} AS score FROM st")
     q["reported_score"] = _with(brand, f"SELECT community, {reported('n', 'a', 't', N)} AS reported_score FROM st")
-    dec = brand + [("cand", cand_sql("inc", "lab", "v0", "st")), ("best", best_sql("cand")),
-                   ("dec", decision_sql("lab", "v0", "st", "own", "best"))]
+    dec = brand + [("rows", cand_rows_sql("inc", "xv")), ("cand", cand_sql("rows", "st")), ("best", best_sql("cand")),
+                   ("xs", own_stats_sql("xv", "st")), ("xso", with_own_sql("xs", "own")),
+                   ("dec", decision_sql("xso", "best"))]
     q["join_gain"] = _with(dec, "SELECT id, c AS community, gain FROM cand")
     q["stay_gain"] = _with(dec, "SELECT id, community, stay AS gain FROM dec")
     q["best_move"] = _with(dec, f"SELECT id, community, {target_expr()} AS best_community FROM dec")
@@ -313,8 +342,7 @@ def statements() -> dict[str, str]:
     ctes.append(("m0", f"SELECT id AS vertex, community FROM {a_l0}"))
     ctes.append(("m1", f"SELECT m.vertex, x.community FROM m0 m JOIN {a_l1} x ON m.community = x.id"))
     ctes.append(("mem", "SELECT 0 AS level, vertex, community FROM m0 UNION ALL SELECT 1, vertex, community FROM m1"))
-    # The multi-level statements chain two unrolled levels; DuckDB does not finish them in
-    # reasonable time, so they are kept for reference but not registered (see MULTILEVEL_KEYS).
+    # Two unrolled levels chained through the compression step.
     q["multilevel"] = _with(ctes, f"SELECT 0 AS level, id, community FROM {a_l0} UNION ALL SELECT 1, id, community FROM {a_l1}")
     q["membership"] = _with(ctes, "SELECT level, vertex, community FROM mem")
     q["community_members"] = _with(ctes, (
