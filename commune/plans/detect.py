@@ -52,7 +52,11 @@ class Result:
 
 def _broadcast_ok(spark: SparkSession, communities_bound: int) -> bool:
     """True when the statistics table is provably small enough to broadcast."""
-    limit = int(str(spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")).rstrip("b") or 0)
+    try:
+        limit = int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
+    except Exception:  # non-JVM sessions: fall back to the textual setting
+        raw = str(spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")).lower().rstrip("b")
+        limit = int(raw) if raw.lstrip("-").isdigit() else 10485760
     return limit > 0 and communities_bound * STATE_ROW_BYTES <= limit
 
 

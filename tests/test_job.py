@@ -29,3 +29,13 @@ def test_edge_stream_parses_new_files(spark, tmp_path):
     q.awaitTermination(60)
     got = sorted(tuple(r) for r in spark.sql("SELECT * FROM stream_edges").collect())
     assert got == [(1, 2, 1), (2, 3, 4)]
+
+
+def test_member_lists_split_large_communities(spark):
+    from commune.sources.sinks import member_lists
+    m = spark.range(0, 1000).selectExpr("0 AS level", "id AS vertex", "CAST(id % 2 AS BIGINT) AS community")
+    parts = member_lists(m, max_per_part=100).collect()
+    assert all(len(p.members) < 200 for p in parts)            # 500 members each, 5 hash parts
+    assert {p.part for p in parts if p.community == 0} == set(range(5))
+    every = sorted(v for p in parts for v in p.members)
+    assert every == list(range(1000))
