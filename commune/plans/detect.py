@@ -19,6 +19,7 @@ from commune.operators import moves
 from commune.operators.compress import compress_edges, compress_vertices
 from commune.operators.graph import (DEFAULT_HOT_FLOOR, Level, build_level, initial_stats, materialize,
                                      merge_edges, singleton_assignment)
+from commune.operators.skew import hot_threshold, lookup
 from commune.session import ensure_checkpoint_dir, shuffle_partitions
 
 # The loop guards and the score threshold of the multi-level test.
@@ -147,8 +148,8 @@ def prepare_edges(edges: DataFrame, self_loops: str = "keep") -> DataFrame:
 
 def level_state(level: Level, outcome: LevelOutcome) -> DataFrame:
     """Vertex state of a finished level (level, id, community, out_w, int_n, int_w, n, t, a, changed)."""
-    st = outcome.stats.select("community", "n", "a", "t")
-    return (outcome.assign.join(level.vert, "id").join(st, "community")
+    st = outcome.stats.select("community", "n", "a", "t", "hot")
+    return (lookup(outcome.assign.join(level.vert, "id"), st, "community")
             .select(F.lit(outcome.level).alias("level"), "id", "community", "out_w", "int_n", "int_w",
                     "n", "t", "a", "changed"))
 
@@ -186,8 +187,13 @@ def detect(spark: SparkSession, edges: DataFrame, min_progress: int = 2000, prog
         if membership is None:
             membership = lab.select(F.col("id").alias("vertex"), "community")
         else:
-            membership = membership.join(lab.select(F.col("id").alias("community"), F.col("community").alias("c2")),
-                                         "community").select("vertex", F.col("c2").alias("community"))
+            # Hypernodes holding more than twice a partition's share of the original vertices
+            # are joined by broadcast (at most ``P / 2`` of them), the rest by shuffle.
+            heavy = hot_threshold(level.total_vertices, P, hot_floor)
+            dim = lab.join(level.vert.select("id", "int_n"), "id").select(
+                F.col("id").alias("community"), F.col("community").alias("c2"),
+                (F.col("int_n") > F.lit(heavy)).alias("hot"))
+            membership = lookup(membership, dim, "community").select("vertex", F.col("c2").alias("community"))
         membership = materialize(membership.repartition(P, "vertex"))
         memberships.append(membership.select(F.lit(level_no).alias("level"), "vertex", "community"))
         if on_level is not None:
