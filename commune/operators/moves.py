@@ -102,6 +102,22 @@ def vertex_view(level: Level, assign: DataFrame, stats: DataFrame, broadcast_sta
     return lookup(base, dim, "community", broadcast_all=broadcast_stats)
 
 
+def vertex_summary(level: Level, flagged: DataFrame, stats: DataFrame, broadcast_stats: bool) -> DataFrame:
+    """Per vertex with messages, one aggregate over all its incident rows:
+    (id, inc_own, best_gain, best_c). ``inc_own`` is null when the vertex has no neighbour
+    in its own community; own rows give a null struct, which ``max`` skips. Partial
+    aggregation bounds what a hub sends to its final task."""
+    N = level.total_vertices
+    dim = stats.select(F.col("community").alias("c"), F.col("n").alias("cn"), F.col("a").alias("ca"),
+                       F.col("t").alias("ct"), "hot")
+    joined = lookup(flagged, dim, "c", broadcast_all=broadcast_stats)
+    gain = F.expr(join_gain_sql("cn", "ca", "ct", "inc_w", "out_w", "int_n", "int_w", N))
+    agg = joined.groupBy("id").agg(
+        F.sum(F.when(F.col("own"), F.col("inc_w"))).alias("inc_own"),
+        F.max(F.when(~F.col("own"), F.struct(gain.alias("gain"), F.col("c")))).alias("best"))
+    return agg.select("id", "inc_own", F.col("best.gain").alias("best_gain"), F.col("best.c").alias("best_c"))
+
+
 def decide(level: Level, assign: DataFrame, flagged: DataFrame, stats: DataFrame, down: bool,
            broadcast_stats: bool, detail: bool = False) -> DataFrame:
     """New assignment (id, community, changed) after one half-pass.
@@ -111,10 +127,9 @@ def decide(level: Level, assign: DataFrame, flagged: DataFrame, stats: DataFrame
     best candidate are kept as extra columns.
     """
     N = level.total_vertices
-    best = best_moves(candidates(level, flagged, stats, broadcast_stats))
-    own_inc = flagged.where("own").select("id", F.col("inc_w").alias("inc_own"))
+    summary = vertex_summary(level, flagged, stats, broadcast_stats)
     v = vertex_view(level, assign.select("id", "community"), stats, broadcast_stats)
-    v = v.join(own_inc, "id", "left").join(best, "id", "left")
+    v = v.join(summary, "id", "left")
     stay = F.expr(stay_gain_sql("n", "a", "t", "coalesce(inc_own, 0L)", "out_w", "int_n", "int_w", N))
     own_value = F.when(F.col("inc_own").isNotNull(), F.greatest(stay, F.lit(0.0))).otherwise(stay)
     v = v.select("id", "community", "best_gain", "best_c", stay.alias("stay"), own_value.alias("own_value"))
