@@ -104,11 +104,12 @@ def local_moving(spark: SparkSession, level: Level, level_no: int, min_progress:
         new_assign, cached = half_pass(spark, level, assign, stats_override, down, bound)
         stats_override = None
         new_assign = materialize(new_assign.repartition(level.partitions, "id"))
+        m = int(new_assign.agg(F.count_if(F.col("changed"))).first()[0])
+        # Communities never split or appear within a level, so the cached statistics (one row
+        # per community before this half-pass) bound the count after it.
+        bound = int(cached[1].count())
         for df in cached:
             df.unpersist()
-        row = new_assign.agg(F.count_if(F.col("changed")).alias("m"),
-                             F.count_distinct(F.col("community")).alias("c")).first()
-        m, bound = int(row["m"]), int(row["c"])
         assign.unpersist()
         assign = new_assign
         movers_hist.append(m)
