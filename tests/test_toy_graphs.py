@@ -67,3 +67,10 @@ def test_ring_of_triangles(spark):
 def test_empty(spark):
     r = detect(spark, edges_df(spark, []), 2000, 1)
     assert r.membership.count() == 0 and r.levels.count() == 0
+
+
+def test_self_loops_drop_equals_prefiltered_edges(spark):
+    a = detect(spark, edges_df(spark, MIX), 2000, 1, self_loops="drop")
+    b = detect(spark, edges_df(spark, [e for e in MIX if e[0] != e[1]]), 2000, 1)
+    assert sorted(tuple(r) for r in a.membership.collect()) == sorted(tuple(r) for r in b.membership.collect())
+    assert a.outcomes[0].reported_score == b.outcomes[0].reported_score
