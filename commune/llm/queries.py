@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from commune.llm import chat, decontaminate, simhash, toxicity, warc
+from commune.llm import chat, decontaminate, licenses, pieces, polyhash, quality, simhash, toxicity, urltree, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
     "op2_simhash_near_dedup": simhash.query,
     "op3_chat_formatting": chat.query,
+    "op4_license_scans": licenses.query,
+    "op5_url_filters": urltree.query,
+    "op6_sentencepiece": pieces.query,
     "op7_warc": warc.query,
+    "op8_quality_classifier": quality.query,
+    "op9_document_fingerprints": polyhash.query,
     "op10_benchmark_decontamination": decontaminate.query,
 }
 

@@ -1,7 +1,7 @@
 """URL filter: host and path rules, and a path-template tree per host for what no rule decides.
 
 Rules. A rule fits its host and all subdomains if the path starts with the rule's path; of the
-rules that fit, the longest (then the smaller string) wins.
+rules that fit, the longest (then the larger string) wins.
 
 Tree. Per host, paths are split into segments. Level by level, over counts of (host, template
 so far, segment) rather than rows:
@@ -58,9 +58,9 @@ def path_column(url: Column) -> Column:
 
 
 def rule_column(host: Column, path: Column, rules=RULES) -> Column:
-    """The rule that decides, or null. Rules are tried from the longest, so the first fit wins."""
+    """The rule that decides, or null: the longest one is asked first."""
     out = F.lit(None).cast("string")
-    for rule, _ in sorted(rules, key=lambda r: (len(r[0]), r[0]), reverse=True)[::-1]:
+    for rule, _ in sorted(rules, key=lambda r: (len(r[0]), r[0])):
         rule_host, slash, rest = rule.partition("/")
         fits = ((host == rule_host) | F.endswith(host, F.lit("." + rule_host))) & F.startswith(path, F.lit(slash + rest))
         out = F.when(fits, F.lit(rule)).otherwise(out)
