@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding by shared-prefix Viterbi over distinct marked words.
 
-A text is marked (spaces become U+2581, one more goes in front) and cut into marked words: runs
-of the mark with the characters up to the next mark. No piece joins a character to a mark after
+A text is marked (a space goes in front; a space is the mark that the model writes as U+2581)
+and cut into marked words: runs of the mark with the characters up to the next mark. No piece joins a character to a mark after
 it, so words are encoded apart. The distinct words of a batch are sorted, which is the
 depth-first order of their trie, and a forward table over prefix lengths is kept: for the next
 word only the entries beyond the common prefix with the word before are computed.
@@ -24,7 +24,6 @@ import hashlib
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -37,14 +36,14 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Encoded words and pairs that a worker remembers between batches.
 KEPT_WORDS, KEPT_PAIRS = 400_000, 1 << 20
-_WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+_WORDS = re.compile(" +[^ ]*")
 
 
 @dataclass(frozen=True)
 class Vocabulary:
     """What encoding and decoding need of a model file."""
 
-    ids: dict  # piece -> id, without control, unknown and byte pieces
+    ids: dict  # piece, marks as spaces -> id, without control, unknown and byte pieces
     scores: dict  # piece -> score
     byte_ids: tuple
     decoded: tuple  # id -> bytes, marks as spaces
@@ -66,8 +65,9 @@ def load_vocabulary(path: str = MODEL_PATH) -> Vocabulary:
         elif sp.is_unknown(i):
             decoded.append(" ⁇ ".encode())
         else:
+            piece = piece.replace(MARK, " ")
             ids[piece], scores[piece] = i, sp.get_score(i)
-            decoded.append(piece.replace(MARK, " ").encode())
+            decoded.append(piece.encode())
     return Vocabulary(ids, scores, tuple(byte_ids), tuple(decoded), max(map(len, ids)))
 
 
@@ -77,7 +77,14 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.known: dict[str, bytes] = {}
-        self.stable = lru_cache(KEPT_PAIRS)(self._stable)
+        #: (piece before, piece) -> whether merging their text gives exactly the two.
+        self.pairs: dict[tuple[str, str], bool] = {}
+        #: End of a prefix -> sizes of pieces that may end there, longest first.
+        self.ends: dict[str, tuple[int, ...]] = {}
+        self.by_end: dict[str, set[int]] = {}
+        for piece in vocabulary.ids:
+            self.by_end.setdefault(piece[-3:], set()).add(len(piece))
+        self.packed = {p: i.to_bytes(4, "little") for p, i in vocabulary.ids.items()}
 
     def merged(self, text: str) -> list[str]:
         """The pieces of a short text by merging the best-scored, then leftmost, pair."""
@@ -92,48 +99,58 @@ class Encoder:
                 return parts
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
 
-    def _stable(self, before: str, piece: str) -> bool:
-        return self.merged(before + piece) == ([before, piece] if before else [piece])
+    def stable(self, before: str, piece: str) -> bool:
+        if len(self.pairs) > KEPT_PAIRS:
+            self.pairs.clear()
+        ok = self.pairs[before, piece] = self.merged(before + piece) == ([before, piece] if before else [piece])
+        return ok
+
+    def _sizes(self, end: str) -> tuple[int, ...]:
+        if len(self.ends) > KEPT_PAIRS:
+            self.ends.clear()
+        sizes = {n for k in range(len(end)) for n in self.by_end.get(end[k:], ()) if k == 0 or n == len(end) - k}
+        self.ends[end] = found = tuple(sorted(sizes | {1}, reverse=True))
+        return found
 
     def segment(self, words: Iterable[str]) -> Iterator[tuple[str, list[str]]]:
         """(word, pieces) of sorted words: a depth-first walk that shares the forward table."""
-        ids, longest, stable = self.v.ids, self.v.longest, self.stable
-        last = [0]  # last[i]: length of the last piece of the encoding of the prefix of length i
+        ids, ends, pairs, stable, sizes = self.v.ids, self.ends, self.pairs, self.stable, self._sizes
+        last = [""]  # last[i]: the last piece of the encoding of the prefix of length i
         shown = ""
         for word in words:
-            common = 0
-            for x, y in zip(shown, word):
-                if x != y:
-                    break
-                common += 1
+            common = min(len(shown), len(word))
+            while word[:common] != shown[:common]:
+                common -= 1
             del last[common + 1:]
             for i in range(common + 1, len(word) + 1):
-                for size in range(min(longest, i), 0, -1):
-                    piece = word[i - size:i]
-                    if size > 1 and piece not in ids:
-                        continue
-                    j = i - size
-                    if stable(word[j - last[j]:j], piece):
-                        last.append(size)
-                        break
+                end = word[i - 3 if i > 3 else 0:i]
+                for size in ends.get(end) or sizes(end):
+                    if size <= i:
+                        piece = word[i - size:i]
+                        if piece in ids or size == 1:
+                            before = last[i - size]
+                            ok = pairs.get((before, piece))
+                            if ok or ok is None and stable(before, piece):
+                                last.append(piece)
+                                break
                 else:
                     raise AssertionError(f"no path to {word[:i]!r}")
             shown = word
             pieces, i = [], len(word)
             while i:
-                pieces.append(word[i - last[i]:i])
-                i -= last[i]
-            yield word, pieces[::-1]
+                piece = last[i]
+                pieces.append(piece)
+                i -= len(piece)
+            pieces.reverse()
+            yield word, pieces
 
     def _ids(self, pieces: list[str]) -> bytes:
-        out = []
-        for p in pieces:
-            i = self.v.ids.get(p)
-            if i is None:
-                out += [self.v.byte_ids[b] for b in p.encode("utf-8", "surrogatepass")]
-            else:
-                out.append(i)
-        return np.array(out, "<i4").tobytes()
+        packed = self.packed
+        try:
+            return b"".join([packed[p] for p in pieces])
+        except KeyError:
+            return b"".join([packed[p] if p in packed else b"".join(
+                [self.v.byte_ids[b].to_bytes(4, "little") for b in p.encode("utf-8", "surrogatepass")]) for p in pieces])
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """The piece ids of each text as little-endian 32-bit integers."""
@@ -142,16 +159,19 @@ class Encoder:
         if len(known) > KEPT_WORDS:
             known.clear()
         for t in texts:
+            if MARK in t:
+                t = t.replace(MARK, " ")
             if not t:
                 words = []
-            elif MARK in t or "  " in t or t[0] == " ":
-                words = _WORDS.findall(MARK + t.replace(" ", MARK))
+            elif "  " in t or t[0] == " ":
+                words = [w[1:] for w in _WORDS.findall(" " + t)]
             else:
-                words = [MARK + w for w in t.split(" ")]
+                words = t.split(" ")
             cut.append(words)
-            fresh.update(w for w in words if w not in known)
-        for word, pieces in self.segment(sorted(fresh)):
-            known[word] = self._ids(pieces)
+            fresh.update(words)
+        # Words are kept without their first mark.
+        for word, pieces in self.segment(" " + w for w in sorted(fresh.difference(known))):
+            known[word[1:]] = self._ids(pieces)
         return [b"".join([known[w] for w in words]) for words in cut]
 
 
@@ -172,7 +192,9 @@ def _encoder(vocabulary: Vocabulary, key: str) -> Encoder:
     return _ENCODERS[key]
 
 
-def _slices(b: pd.Series, size: int = 512) -> Iterator[pd.Series]:
+def _slices(b: pd.Series, chars: int = 4_000_000) -> Iterator[pd.Series]:
+    """Runs of rows of about ``chars`` characters: the words of one are held at a time."""
+    size = max(1, int(chars * len(b) / max(1, b.str.len().sum())))
     for k in range(0, len(b), size):
         yield b.iloc[k:k + size]
 
