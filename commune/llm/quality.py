@@ -7,8 +7,8 @@ by the tail P(grade >= 1).
 
 Features are hashed text: each word gives its lower-cased self, its last letters and its shape
 (runs of letter case, digits and other characters) as features, and a mark if it repeats the
-word before; a text's features are the means over its words. The model is linear in them, so a
-word's score is computed once and remembered.
+word before; a text's features are the square roots of their means over its words, so that a
+passage of junk in a long text still shows. The places of a word's features are remembered.
 
 The fit reads a bounded sample: ``LIMITS`` labelled rows per grade, in the order of a hash of the
 id; rows weigh as in the whole labelled table. Every text is scored whole.
@@ -37,7 +37,7 @@ BUCKETS = 2048
 GRADES = 3
 #: Bound of the training sample: labelled rows per grade.
 LIMITS = {0: 1500, 1: 1000, 2: 2000}
-#: Words whose scores a task remembers.
+#: Words whose features a task remembers.
 KEPT_WORDS = 300_000
 MIN_TAIL = 0.5
 _UPPER, _LOWER_RUN = re.compile(r"[^\W\d_a-zß-öø-ÿ]+"), re.compile(r"[^\W\d_A]+")
@@ -57,7 +57,7 @@ REPEAT = xxhash.xxh32_intdigest("repeats the word before") % BUCKETS
 
 
 def features(text: str, known: dict) -> np.ndarray:
-    """Mean hashed features of a text's words (zeros without words)."""
+    """Square roots of the mean hashed features of a text's words (zeros without words)."""
     x = np.zeros(BUCKETS, np.float32)
     words = text.split()
     if words:
@@ -72,7 +72,7 @@ def features(text: str, known: dict) -> np.ndarray:
         x += np.bincount(at, minlength=BUCKETS)
         x[REPEAT] += sum(a == b for a, b in pairwise(words))
         x /= len(words)
-    return x
+    return np.sqrt(x)
 
 
 @dataclass(frozen=True)
@@ -86,8 +86,8 @@ def _sigmoid(v):
     return 1 / (1 + np.exp(-np.clip(v, -30, 30)))
 
 
-def fit_cumulative(x: np.ndarray, y: np.ndarray, row_weight: np.ndarray, grades: int = GRADES, ridge: float = 1e-3,
-                   steps: int = 400) -> QualityModel:
+def fit_cumulative(x: np.ndarray, y: np.ndarray, row_weight: np.ndarray, grades: int = GRADES, ridge: float = 1e-2,
+                   steps: int = 300) -> QualityModel:
     """Maximum likelihood with a ridge by Adam on standardised features; thresholds by positive gaps."""
     mean, scale = x.mean(0), x.std(0)
     scale = np.where(scale > 1e-8, scale, np.inf).astype(np.float32)
@@ -131,7 +131,7 @@ def fit(documents: DataFrame, labels: DataFrame, limits: dict[int, int] = LIMITS
         for b in batches:
             yield pd.Series([features(t, known).tobytes() for t in b])
 
-    got = sample.where(F.trim("text") != "").select("label", vector("text").alias("x")).collect()
+    got = sample.where(F.col("text").rlike(r"\S")).select("label", vector("text").alias("x")).collect()
     y = np.array([r.label for r in got], int)
     if len(set(y.tolist())) < 2:
         return QualityModel()
@@ -147,26 +147,12 @@ def rating_column(model: QualityModel, text: Column) -> Column:
 
     @F.pandas_udf("expected double, tail double")
     def rating(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        known: dict[str, float] = {}
+        known: dict = {}
         for b in batches:
             means = np.full(len(b), np.nan)
             for k, t in enumerate(b):
-                words = t.split()
-                if not words:
-                    continue
-                if not len(w):
-                    means[k] = 0.0
-                    continue
-                total = 0.0
-                for x in words:
-                    s = known.get(x)
-                    if s is None:
-                        if len(known) > KEPT_WORDS:
-                            known.clear()
-                        s = known[x] = float(w[list(buckets_of(x))].sum())
-                    total += s
-                total += w[REPEAT] * sum(a == c for a, c in pairwise(words))
-                means[k] = total / len(words)
+                if t and not t.isspace():
+                    means[k] = features(t, known) @ w if len(w) else 0.0
             if len(w):
                 tails = 1 - _sigmoid(cuts[:, None] - (means + model.offset)[None, :])
             else:
