@@ -35,7 +35,7 @@ from commune.llm.common import table, text_or_empty
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Encoded words and pairs that a worker remembers between batches.
-KEPT_WORDS, KEPT_PAIRS = 400_000, 1 << 20
+KEPT_WORDS, KEPT_PAIRS = 200_000, 250_000
 _WORDS = re.compile(" +[^ ]*")
 
 
@@ -192,7 +192,7 @@ def _encoder(vocabulary: Vocabulary, key: str) -> Encoder:
     return _ENCODERS[key]
 
 
-def _slices(b: pd.Series, chars: int = 4_000_000) -> Iterator[pd.Series]:
+def _slices(b: pd.Series, chars: int = 2_000_000) -> Iterator[pd.Series]:
     """Runs of rows of about ``chars`` characters: the words of one are held at a time."""
     size = max(1, int(chars * len(b) / max(1, b.str.len().sum())))
     for k in range(0, len(b), size):

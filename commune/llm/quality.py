@@ -38,7 +38,7 @@ GRADES = 3
 #: Bound of the training sample: labelled rows per grade.
 LIMITS = {0: 1500, 1: 1000, 2: 2000}
 #: Words whose features a task remembers.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 100_000
 MIN_TAIL = 0.5
 _UPPER, _LOWER_RUN = re.compile(r"[^\W\d_a-zß-öø-ÿ]+"), re.compile(r"[^\W\d_A]+")
 
