@@ -65,9 +65,9 @@ def main() -> None:
     lv = holder["lv"]
 
     def one_half_pass():
-        a = materialize(singleton_assignment(lv).repartition(P, "id"))
+        a = materialize(singleton_assignment(lv))
         new, fl = half_pass(spark, lv, a, moves.with_hot(lv, initial_stats(lv)), True, lv.vertices)
-        materialize(new.repartition(P, "id")).agg(F.count_if("changed")).first()
+        materialize(new).agg(F.count_if("changed")).first()
         [df.unpersist() for df in fl]
 
     timed("half_pass_copart", one_half_pass)

@@ -1,8 +1,8 @@
 from commune.functions.ip import ip_to_long, ip_to_long_unchecked, is_ipv4, long_to_ip
-from commune.functions.score import ceil_score, join_gain, reported_score, stay_gain
+from commune.functions.score import ceil_score, reported_score
 from commune.functions.text import state_text
 
 __all__ = [
-    "ceil_score", "join_gain", "reported_score", "stay_gain",
+    "ceil_score", "reported_score",
     "ip_to_long", "ip_to_long_unchecked", "is_ipv4", "long_to_ip", "state_text",
 ]

@@ -35,23 +35,11 @@ def reported_score(n: Column, a: Column, t: Column, total_vertices: int) -> Colu
     )
 
 
-def join_gain(n: Column, a: Column, t: Column, inc: Column, out_w: Column, int_n: Column,
-              int_w: Column, total_vertices: int) -> Column:
-    """Change of S when a vertex (out_w, int_n, int_w) with incident weight inc joins (n, a, t)."""
-    after = ceil_score(n + int_n, a + inc + int_w, t + out_w - inc + int_w, total_vertices)
-    return after - ceil_score(n, a, t, total_vertices)
+# Move gains as SQL text with the same operation order: one ``F.expr`` call instead of dozens of
+# Column calls. Joining: change of S when a vertex (out_w, int_n, int_w) with incident weight inc
+# joins (n, a, t). Staying: S of the own community minus S of it without the vertex.
 
 
-def stay_gain(n: Column, a: Column, t: Column, inc_own: Column, out_w: Column, int_n: Column,
-              int_w: Column, total_vertices: int) -> Column:
-    """S of the own community minus S of the own community without the vertex."""
-    without = ceil_score(n - int_n, a - int_w - inc_own, t - out_w - int_w + inc_own, total_vertices)
-    return ceil_score(n, a, t, total_vertices) - without
-
-
-# SQL-text forms of the same expressions (identical operation order). Internal hot paths
-# build each gain with one ``F.expr`` call instead of dozens of Column calls.
-
 def score_sql(n: str, a: str, t: str, total_vertices: int) -> str:
     d = lambda x: f"CAST(({x}) AS DOUBLE)"
     return (f"(CASE WHEN ({n}) <= 1 OR ({t}) = 0 THEN 0.0D ELSE "

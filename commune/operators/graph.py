@@ -1,14 +1,19 @@
 """Working graph of one level, built from an edge list with DataFrame operators.
 
-* ``edges(src, dst, weight)``: parallel edges merged (sum per ordered pair).
 * ``sym(id, nbr, w, ...)``: every edge seen from both ends, reciprocal pairs summed, a
   self-loop counted twice. It carries the receiving vertex's attributes, which are
-  constant within a level, and a ``salt`` that splits hub neighbours over several
-  partitions. It is hash-partitioned on ``(nbr, salt)`` and checkpointed, so the
-  per-half-pass message join never shuffles it.
-* ``vert(id, out_w, int_n, int_w, deg_cnt)``: per-vertex constants, partitioned by id.
+  constant within a level, and, if the level has hubs, a ``salt`` that splits hub neighbours
+  over several partitions. The summed pairs are checkpointed once per level; the table itself is
+  laid out by hash of ``nbr`` (or ``(nbr, salt)``) and cached. A cached layout is kept by later
+  joins, while a checkpoint's is not (under adaptive execution its partitioning is unknown), so
+  the message join of every half-pass streams ``sym`` without a shuffle.
+* ``vert(id, out_w, int_n, int_w, deg_cnt)``: per-vertex constants.
 * ``hubs(id, salts)``: vertices with more sym rows than twice a partition's share
   (at most ``partitions / 2`` rows), used for salting and skew-safe joins.
+
+The input is evaluated once per level. Pairs are summed and degrees counted with map-side
+partial aggregation, and the pairs meet the vertices by a skew-safe join, so no task holds a
+whole hub on either side.
 """
 
 from __future__ import annotations
@@ -19,16 +24,17 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from commune.operators.skew import hot_threshold
+from commune.operators.skew import hot_threshold, lookup
+from commune.session import discard
 
-# Fixed value: smallest row count that can make a key hot (keeps small graphs unsalted).
+# Smallest row count that can make a key hot: below it a graph stays unsalted. It only decides
+# how rows are spread, never what is computed.
 DEFAULT_HOT_FLOOR = 50_000
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint (shared checkpoint folder), then cache."""
-    out = df.checkpoint(eager=True)
-    return out.persist(StorageLevel.MEMORY_AND_DISK)
+    """Cut lineage with a reliable checkpoint (shared checkpoint folder)."""
+    return df.checkpoint(eager=True)
 
 
 def merge_edges(edges: DataFrame) -> DataFrame:
@@ -46,12 +52,10 @@ def weighted_degree(edges: DataFrame) -> DataFrame:
     return ends.groupBy("id").agg(F.sum("weight").alias("degree"))
 
 
-def symmetrize(edges: DataFrame, partitions: int | None = None) -> DataFrame:
+def symmetrize(edges: DataFrame) -> DataFrame:
     """(id, nbr, w): both directions of every edge, summed per (id, nbr)."""
     both = edges.select(F.col("src").alias("id"), F.col("dst").alias("nbr"), F.col("weight").alias("w")).unionAll(
         edges.select(F.col("dst").alias("id"), F.col("src").alias("nbr"), F.col("weight").alias("w")))
-    if partitions:
-        both = both.repartition(partitions, "id")
     return both.groupBy("id", "nbr").agg(F.sum("w").alias("w"))
 
 
@@ -64,7 +68,7 @@ def triplets(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 @dataclass
 class Level:
-    edges: DataFrame
+    pairs: DataFrame
     sym: DataFrame
     vert: DataFrame
     hubs: DataFrame
@@ -82,51 +86,54 @@ class Level:
         return ["nbr", "salt"] if self.salted else ["nbr"]
 
     def release(self) -> None:
-        for df in (self.sym, self.vert, self.hubs):
-            df.unpersist()
+        """Free the cached layout and delete the level's checkpoints."""
+        discard(self.sym, self.pairs, self.hubs, self.vert)
 
 
 def build_level(edges: DataFrame, partitions: int, total_vertices: int | None = None,
                 vertex_attrs: DataFrame | None = None, hot_floor: int = DEFAULT_HOT_FLOOR) -> Level:
-    """Prepare one level from merged ``edges``.
+    """Prepare one level from ``edges``; parallel edges are summed.
 
     ``vertex_attrs(id, out_w, int_n, int_w)`` describes hypernodes (levels >= 1); at level 0
     every vertex has int_n = 1, int_w = 0 and out_w = its weighted degree.
     """
     P = partitions
-    sym0 = symmetrize(edges, P)  # partitioned by id
-    deg = sym0.groupBy("id").agg(F.count(F.lit(1)).alias("deg_cnt"), F.sum("w").alias("degree"))
+    pairs = materialize(symmetrize(edges))
+    deg = pairs.groupBy("id").agg(F.count(F.lit(1)).alias("deg_cnt"), F.sum("w").alias("degree"))
     if vertex_attrs is None:
         vert = deg.select("id", F.col("degree").alias("out_w"), F.lit(1).cast("bigint").alias("int_n"),
                           F.lit(0).cast("bigint").alias("int_w"), "deg_cnt")
     else:
         vert = vertex_attrs.join(deg.select("id", "deg_cnt"), "id", "left").select(
             "id", "out_w", "int_n", "int_w", F.coalesce("deg_cnt", F.lit(0).cast("bigint")).alias("deg_cnt"))
-    vert = materialize(vert.repartition(P, "id"))
-    counts = vert.agg(F.count(F.lit(1)).alias("v"), F.sum("deg_cnt").alias("r")).first()
+    vert = materialize(vert)
+    counts = vert.agg(F.count(F.lit(1)).alias("v"), F.sum("deg_cnt").alias("r"), F.max("deg_cnt").alias("m")).first()
     n_vertices, sym_rows = int(counts["v"]), int(counts["r"] or 0)
     if total_vertices is None:
         total_vertices = n_vertices
     hot_rows = hot_threshold(sym_rows, P, hot_floor)
     hot_members = hot_threshold(n_vertices, P, hot_floor)
     share = max(sym_rows // P, 1)
+    salted = int(counts["m"] or 0) > hot_rows
     hubs = materialize(
         vert.where(F.col("deg_cnt") > hot_rows)
         .select("id", F.ceil(F.col("deg_cnt") / F.lit(share)).cast("int").alias("salts"))
         .coalesce(1))
-    salted = hubs.count() > 0
-    sym = sym0.join(vert.select("id", "out_w", "int_n", "int_w"), "id")
+    consts = vert.select("id", "out_w", "int_n", "int_w", (F.col("deg_cnt") > hot_rows).alias("hot"))
     if salted:
         # A hub's rows are spread over ``salts`` partitions by a hash of the other end.
+        sym = lookup(pairs, consts, "id")
         hub_salt = hubs.select(F.col("id").alias("nbr"), "salts")
         sym = sym.join(F.broadcast(hub_salt), "nbr", "left").select(
             "id", "nbr", "w", "out_w", "int_n", "int_w",
             F.when(F.col("salts").isNull(), F.lit(0))
             .otherwise(F.pmod(F.xxhash64("id"), F.col("salts"))).cast("int").alias("salt"))
-        sym = materialize(sym.repartition(P, "nbr", "salt"))
+        sym = sym.repartition(P, "nbr", "salt")
     else:
-        sym = materialize(sym.select("id", "nbr", "w", "out_w", "int_n", "int_w").repartition(P, "nbr"))
-    return Level(edges=edges, sym=sym, vert=vert, hubs=hubs, vertices=n_vertices, sym_rows=sym_rows,
+        sym = pairs.join(consts.drop("hot"), "id").select("id", "nbr", "w", "out_w", "int_n", "int_w")
+        sym = sym.repartition(P, "nbr")
+    sym = sym.persist(StorageLevel.MEMORY_AND_DISK)
+    return Level(pairs=pairs, sym=sym, vert=vert, hubs=hubs, vertices=n_vertices, sym_rows=sym_rows,
                  total_vertices=total_vertices, partitions=P, hot_rows=hot_rows, hot_members=hot_members,
                  salted=salted)
 

@@ -3,14 +3,18 @@
 Given an assignment ``(id, community)`` of the level's vertices:
 
 1. ``incident``: each vertex's weight towards every adjacent community. One join of the
-   checkpointed ``sym`` table with the assignment on ``(nbr, salt)`` (co-partitioned, so
-   ``sym`` is not shuffled) and one aggregate by ``(id, community)`` that combines map-side.
+   cached ``sym`` table with the assignment on ``(nbr, salt)`` (``sym`` keeps its layout, so only
+   the assignment is shuffled) and one aggregate by ``(id, community)`` that combines map-side:
+   the first message-sized shuffle.
 2. ``flag_own``: marks the row of the vertex's own community (a join on ``(id, c)`` that
    only moves the assignment).
 3. ``community_stats``: n, a, t per community from the vertices and their own-community
    rows: a = sum(int_w) + sum(own inc)/2, t = sum(int_w + out_w) - sum(own inc)/2.
-4. ``candidates``: the join gain of every (vertex, adjacent other community).
-5. ``best_moves``: per vertex the max of struct(gain, community), partial-aggregated.
+4. ``with_gains``: the join gain of every (vertex, adjacent community), by a broadcast of the
+   statistics where their size is proven, else by a skew-safe join (one more message shuffle).
+5. ``vertex_summary``: per vertex the own weight and the max of struct(gain, community), one
+   partially aggregated pass: the second message-sized shuffle, and a sort aggregate, since
+   hash aggregates don't take struct buffers and ties must go to the larger id.
 6. ``decide``: compare with the stay value, apply the half-pass direction rule.
 """
 
@@ -39,8 +43,8 @@ def _assignment_targets(level: Level, assign: DataFrame) -> DataFrame:
 
 def incident(level: Level, assign: DataFrame) -> DataFrame:
     """(id, c, inc_w, out_w, int_n, int_w): weight from vertex id to community c."""
-    # Hash join built on the assignment side (V rows): the 2E-row ``sym`` is streamed,
-    # neither shuffled nor sorted.
+    # Hash join built on the assignment side (V rows over ``partitions``): the 2E-row ``sym`` is
+    # streamed from its cached layout, neither shuffled nor sorted (tests/test_scale.py).
     msgs = level.sym.join(_assignment_targets(level, assign).hint("shuffle_hash"), level.msg_keys)
     return msgs.groupBy("id", "c").agg(
         F.sum("w").alias("inc_w"), F.max("out_w").alias("out_w"), F.max("int_n").alias("int_n"),
@@ -77,22 +81,13 @@ def with_hot(level: Level, stats: DataFrame) -> DataFrame:
         "hot", (F.col("vol_rows") > F.lit(level.hot_rows)) | (F.col("members") > F.lit(level.hot_members)))
 
 
-def candidates(level: Level, flagged: DataFrame, stats: DataFrame, broadcast_stats: bool) -> DataFrame:
-    """(id, c, inc_w, gain) for every adjacent community other than the own one."""
-    N = level.total_vertices
-    cand = flagged.where(~F.col("own")).drop("own")
+def with_gains(level: Level, flagged: DataFrame, stats: DataFrame, broadcast_stats: bool) -> DataFrame:
+    """(id, c, own, inc_w, gain): the join gain of every (vertex, adjacent community)."""
     dim = stats.select(F.col("community").alias("c"), F.col("n").alias("cn"), F.col("a").alias("ca"),
                        F.col("t").alias("ct"), "hot")
-    joined = lookup(cand, dim, "c", broadcast_all=broadcast_stats)
-    gain = F.expr(join_gain_sql("cn", "ca", "ct", "inc_w", "out_w", "int_n", "int_w", N))
-    return joined.select("id", "c", "inc_w", gain.alias("gain"))
-
-
-def best_moves(cands: DataFrame) -> DataFrame:
-    """(id, best_gain, best_c): the best other community; ties go to the larger id."""
-    best = F.max(F.struct(F.col("gain"), F.col("c"))).alias("best")
-    return cands.groupBy("id").agg(best).select("id", F.col("best.gain").alias("best_gain"),
-                                                F.col("best.c").alias("best_c"))
+    joined = lookup(flagged, dim, "c", broadcast_all=broadcast_stats)
+    gain = F.expr(join_gain_sql("cn", "ca", "ct", "inc_w", "out_w", "int_n", "int_w", level.total_vertices))
+    return joined.select("id", "c", "own", "inc_w", gain.alias("gain"))
 
 
 def vertex_view(level: Level, assign: DataFrame, stats: DataFrame, broadcast_stats: bool) -> DataFrame:
@@ -107,14 +102,10 @@ def vertex_summary(level: Level, flagged: DataFrame, stats: DataFrame, broadcast
     (id, inc_own, best_gain, best_c). ``inc_own`` is null when the vertex has no neighbour
     in its own community; own rows give a null struct, which ``max`` skips. Partial
     aggregation bounds what a hub sends to its final task."""
-    N = level.total_vertices
-    dim = stats.select(F.col("community").alias("c"), F.col("n").alias("cn"), F.col("a").alias("ca"),
-                       F.col("t").alias("ct"), "hot")
-    joined = lookup(flagged, dim, "c", broadcast_all=broadcast_stats)
-    gain = F.expr(join_gain_sql("cn", "ca", "ct", "inc_w", "out_w", "int_n", "int_w", N))
+    joined = with_gains(level, flagged, stats, broadcast_stats)
     agg = joined.groupBy("id").agg(
         F.sum(F.when(F.col("own"), F.col("inc_w"))).alias("inc_own"),
-        F.max(F.when(~F.col("own"), F.struct(gain.alias("gain"), F.col("c")))).alias("best"))
+        F.max(F.when(~F.col("own"), F.struct("gain", "c"))).alias("best"))
     return agg.select("id", "inc_own", F.col("best.gain").alias("best_gain"), F.col("best.c").alias("best_c"))
 
 

@@ -20,9 +20,11 @@ from commune.operators.compress import compress_edges, compress_vertices
 from commune.operators.graph import (Level, build_level, initial_stats, merge_edges, symmetrize, triplets,
                                      vertices_from_edges, weighted_degree)
 from commune.plans.detect import detect, level_state, local_moving, prepare_edges
+from commune.operators.skew import lookup
 from commune.session import ensure_checkpoint_dir, shuffle_partitions
 from commune.sources import tables
 from commune.sources.edges import edges_to_lines, parse_edge_lines
+from commune.sources.sinks import member_lists
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -78,6 +80,9 @@ def _reject_lines(spark, sf_dir):
                                          F.lit("1"), F.lit("2")).alias("value")),
         t("supplier").select(F.concat_ws(",", s("s_suppkey").cast("string"), F.lit(""),
                                          s("s_nationkey").cast("string")).alias("value")),
+        # Digits beyond the 64-bit range, as id and as weight.
+        t("part").select(F.concat(F.lit("99999999999999999999,"), s("p_partkey").cast("string")).alias("value")),
+        t("part").select(F.concat(s("p_partkey").cast("string"), F.lit(",2,-99999999999999999999")).alias("value")),
     ]
     out = good
     for b in bad:
@@ -115,10 +120,17 @@ def q_vertices_from_edges(spark, sf_dir):
 
 def q_graph_counts(spark, sf_dir):
     e = tables.copart_adj(spark, sf_dir)
-    v = vertices_from_edges(e).agg(F.count(F.lit(1)).alias("vertices"))
-    d = e.select("src", "dst").distinct().agg(F.count(F.lit(1)).alias("distinct_edges"))
-    c = e.agg(F.count(F.lit(1)).alias("edges"), F.count_if(F.col("src") == F.col("dst")).alias("self_loops"))
-    return v.crossJoin(c).crossJoin(d).select("vertices", "edges", "distinct_edges", "self_loops")
+    # One evaluation of the edges: per ordered pair first, then both ends of each pair.
+    pairs = e.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("k"))
+    ends = pairs.select(F.col("k"), (F.col("src") == F.col("dst")).alias("loop"),
+                        F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(1).alias("first")),
+                                          F.struct(F.col("dst").alias("id"), F.lit(0).alias("first")))).alias("e"))
+    first = F.col("e.first") == 1
+    per_vertex = ends.groupBy("e.id").agg(
+        F.sum(F.when(first, F.col("k")).otherwise(0)).alias("edges"), F.count_if(first).alias("distinct_edges"),
+        F.sum(F.when(first & F.col("loop"), F.col("k")).otherwise(0)).alias("self_loops"))
+    return per_vertex.agg(F.count(F.lit(1)).alias("vertices"), F.sum("edges").alias("edges"),
+                          F.sum("distinct_edges").alias("distinct_edges"), F.sum("self_loops").alias("self_loops"))
 
 
 def q_weighted_degree(spark, sf_dir):
@@ -159,7 +171,7 @@ def q_community_stats(spark, sf_dir):
 
 def q_state_with_stats(spark, sf_dir):
     _, assign, _, stats = _brand_setup(spark, sf_dir)
-    return assign.join(stats, "community").select("id", "community", "n", "a", "t")
+    return lookup(assign, stats, "community").select("id", "community", "n", "a", "t")
 
 
 def q_community_score(spark, sf_dir):
@@ -176,7 +188,7 @@ def q_reported_score(spark, sf_dir):
 
 def q_join_gain(spark, sf_dir):
     lv, _, flagged, stats = _brand_setup(spark, sf_dir)
-    return moves.candidates(lv, flagged, stats, broadcast_stats=False).select(
+    return moves.with_gains(lv, flagged, stats, broadcast_stats=False).where("NOT own").select(
         "id", F.col("c").alias("community"), "gain")
 
 
@@ -210,12 +222,12 @@ def _half_passes(spark, sf_dir, k):
     from commune.plans.detect import half_pass
     from commune.operators.graph import materialize, singleton_assignment
     lv = _level(spark, tables.part_supp(spark, sf_dir))
-    assign = materialize(singleton_assignment(lv).repartition(lv.partitions, "id"))
+    assign = materialize(singleton_assignment(lv))
     stats = moves.with_hot(lv, initial_stats(lv))
     for i in range(k):
         new, cached = half_pass(spark, lv, assign, stats if i == 0 else None, down=(i % 2 == 0),
                                 communities_bound=lv.vertices)
-        assign = materialize(new.repartition(lv.partitions, "id"))
+        assign = materialize(new)
         for df in cached:
             df.unpersist()
     return assign
@@ -284,9 +296,8 @@ def q_membership(spark, sf_dir):
 
 def q_community_members(spark, sf_dir):
     m = _multilevel(spark, sf_dir).membership
-    return m.groupBy("level", "community").agg(
-        F.count(F.lit(1)).alias("size"), F.min("vertex").alias("min_vertex"), F.max("vertex").alias("max_vertex"),
-        F.sum("vertex").alias("vertex_sum"))
+    lists = member_lists(m)
+    return lists.select("level", "community", "size", F.array_join("members", ",").alias("members"))
 
 
 CATALOG: dict[str, Builder] = {

@@ -2,11 +2,13 @@
 
 The loops only decide when to stop; every step is a DataFrame job. Per half-pass the
 driver receives one row (movers, community count); the new assignment is checkpointed
-to the shared checkpoint folder, which cuts the plan and survives executor loss.
+to the shared checkpoint folder, which cuts the plan and survives executor loss. An
+assignment's checkpoint is deleted once the next one stands, a level's once it is compressed.
 """
 
 from __future__ import annotations
 
+import logging
 import time
 from dataclasses import dataclass, field
 from typing import Callable
@@ -20,9 +22,12 @@ from commune.operators.compress import compress_edges, compress_vertices
 from commune.operators.graph import (DEFAULT_HOT_FLOOR, Level, build_level, initial_stats, materialize,
                                      merge_edges, singleton_assignment)
 from commune.operators.skew import hot_threshold, lookup
-from commune.session import ensure_checkpoint_dir, shuffle_partitions
+from commune.session import discard, ensure_checkpoint_dir, shuffle_partitions
 
-# The loop guards and the score threshold of the multi-level test.
+log = logging.getLogger("commune.detect")
+
+# The guard of the half-pass loop (an argument of ``detect`` and the job; a level it
+# stops is reported) and the score threshold of the multi-level test.
 MAX_HALF_PASSES = 100_000
 IMPROVEMENT_EPS = 1e-7
 STATE_ROW_BYTES = 64
@@ -32,7 +37,7 @@ STATE_ROW_BYTES = 64
 class LevelOutcome:
     level: int
     assign: DataFrame          # (id, community, changed), checkpointed
-    flagged: DataFrame         # incident rows of the final assignment, checkpointed
+    flagged: DataFrame         # incident rows of the final assignment; deleted when ``detect`` ends
     stats: DataFrame           # (community, n, a, t, vol_rows, members, hot), checkpointed
     passes: int
     half_passes: int
@@ -41,6 +46,7 @@ class LevelOutcome:
     reported_score: float
     communities: int
     seconds: float
+    guarded: bool = False      # stopped by ``max_half_passes``, not by lack of progress
 
 
 @dataclass
@@ -49,15 +55,17 @@ class Result:
     state: DataFrame            # (level, id, community, out_w, int_n, int_w, n, t, a, changed)
     levels: DataFrame           # (level, score, reported_score, passes, communities, best_level)
     outcomes: list[LevelOutcome] = field(default_factory=list)
+    tables: list[DataFrame] = field(default_factory=list)
+
+    def release(self) -> None:
+        """Delete the checkpoints behind this result; its tables can't be read afterwards."""
+        discard(*self.tables, *(x for o in self.outcomes for x in (o.assign, o.stats)))
+        self.tables, self.outcomes = [], []
 
 
 def _broadcast_ok(spark: SparkSession, communities_bound: int) -> bool:
-    """True when the statistics table is provably small enough to broadcast."""
-    try:
-        limit = int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
-    except Exception:  # non-JVM sessions: fall back to the textual setting
-        raw = str(spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")).lower().rstrip("b")
-        limit = int(raw) if raw.lstrip("-").isdigit() else 10485760
+    """True when the statistics table is provably small enough to broadcast; results don't depend on it."""
+    limit = int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
     return limit > 0 and communities_bound * STATE_ROW_BYTES <= limit
 
 
@@ -73,7 +81,7 @@ def half_pass(spark: SparkSession, level: Level, assign: DataFrame, stats: DataF
 
     The incident table feeds three consumers (statistics, own weight, candidates) that
     need different columns, so it is cached for the half-pass rather than recomputed;
-    its lineage is short (checkpointed ``sym`` and assignment), so a lost block is cheap.
+    its lineage is short (cached ``sym`` and assignment), so a lost block is cheap.
     ``stats`` overrides the computed statistics.
     """
     flagged = moves.flag_own(moves.incident(level, assign), assign).persist(StorageLevel.MEMORY_AND_DISK)
@@ -84,48 +92,49 @@ def half_pass(spark: SparkSession, level: Level, assign: DataFrame, stats: DataF
     return moves.decide(level, assign, flagged, use, down, _broadcast_ok(spark, communities_bound)), [flagged, use]
 
 
+def stalled(previous: int, current: int, min_progress: int) -> bool:
+    """Whether a pass whose ``current`` movers aren't fewer than ``previous`` by more than ``min_progress``."""
+    return current >= previous - min_progress
+
+
 def local_moving(spark: SparkSession, level: Level, level_no: int, min_progress: int = 1,
                  progress_counter: int = 1, first_stats: DataFrame | None = None,
                  max_half_passes: int = MAX_HALF_PASSES) -> LevelOutcome:
-    """Half-passes until progress stalls; returns the labelled level and its score."""
+    """Whole passes (one half-pass down, one up) until too many stall or nothing moves."""
     t0 = time.time()
-    assign = materialize(singleton_assignment(level).repartition(level.partitions, "id"))
+    assign = materialize(singleton_assignment(level))
     bound = level.vertices
-    movers_hist: list[int] = []
-    moved = 0
-    last = 0
-    stop = 0
-    k = 0
-    down = False
-    stats_override = first_stats
+    movers: list[int] = []
+    stalls, previous, guarded = 0, 0, False
     while True:
-        k += 1
-        down = not down
-        new_assign, cached = half_pass(spark, level, assign, stats_override, down, bound)
-        stats_override = None
-        new_assign = materialize(new_assign.repartition(level.partitions, "id"))
-        m = int(new_assign.agg(F.count_if(F.col("changed"))).first()[0])
-        # Communities never split or appear within a level, so the cached statistics (one row
-        # per community before this half-pass) bound the count after it.
-        bound = int(cached[1].count())
-        for df in cached:
-            df.unpersist()
-        assign.unpersist()
-        assign = new_assign
-        movers_hist.append(m)
-        moved = m if down else moved + m
-        if not down:
-            stop += 1 if moved >= last - min_progress else 0
-            last = moved
-        if not (stop <= progress_counter and (down or (moved > 0 and k < max_half_passes))):
+        for down in (True, False):
+            use = first_stats if not movers else None
+            new_assign, cached = half_pass(spark, level, assign, use, down, bound)
+            new_assign = materialize(new_assign)
+            # The communities of this assignment bound those of the next: none appears in a level.
+            seen = new_assign.agg(F.count_if("changed"), F.count_distinct("community")).first()
+            bound = int(seen[1])
+            movers.append(int(seen[0]))
+            for df in cached:
+                df.unpersist()
+            discard(assign)
+            assign = new_assign
+        moved = movers[-2] + movers[-1]
+        stalls += stalled(previous, moved, min_progress)
+        previous = moved
+        guarded = len(movers) >= max_half_passes
+        if guarded or moved == 0 or stalls > progress_counter:
             break
+    guarded = guarded and moved > 0 and stalls <= progress_counter
+    if guarded:
+        log.warning("level %d was stopped after %d half-passes with %d movers left", level_no, len(movers), moved)
     flagged = materialize(moves.flag_own(moves.incident(level, assign), assign))
     stats = materialize(moves.community_stats(level, assign, flagged))
     totals = moves.score_totals(level, stats).first()
-    return LevelOutcome(level=level_no, assign=assign, flagged=flagged, stats=stats, passes=k // 2,
-                        half_passes=k, movers=movers_hist, score=float(totals["score"]),
+    return LevelOutcome(level=level_no, assign=assign, flagged=flagged, stats=stats, passes=len(movers) // 2,
+                        half_passes=len(movers), movers=movers, score=float(totals["score"]),
                         reported_score=float(totals["reported_score"]), communities=int(totals["communities"]),
-                        seconds=time.time() - t0)
+                        seconds=time.time() - t0, guarded=guarded)
 
 
 def compress(level: Level, outcome: LevelOutcome, hot_floor: int = DEFAULT_HOT_FLOOR) -> Level:
@@ -155,12 +164,32 @@ def level_state(level: Level, outcome: LevelOutcome) -> DataFrame:
                     "n", "t", "a", "changed"))
 
 
+LEVELS_SCHEMA = ("level INT, score DOUBLE, reported_score DOUBLE, passes INT, communities BIGINT, "
+                 "best_level BOOLEAN")
+
+
+def _empty_result(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Membership, state and levels of a graph without vertices: one level of score 0."""
+    membership = spark.createDataFrame([], "level INT, vertex BIGINT, community BIGINT")
+    state = spark.createDataFrame([], "level INT, id BIGINT, community BIGINT, out_w BIGINT, int_n BIGINT, "
+                                      "int_w BIGINT, n BIGINT, t BIGINT, a BIGINT, changed BOOLEAN")
+    return membership, state, spark.createDataFrame([(0, 0.0, 0.0, 0, 0, True)], LEVELS_SCHEMA)
+
+
 def detect(spark: SparkSession, edges: DataFrame, min_progress: int = 2000, progress_counter: int = 1,
            self_loops: str = "keep", partitions: int | None = None, hot_floor: int = DEFAULT_HOT_FLOOR,
            on_level: Callable[[int, float, DataFrame], None] | None = None,
            on_final: Callable[[int, float, DataFrame], None] | None = None,
-           max_levels: int | None = None) -> Result:
-    """Multi-level community detection. ``edges`` has columns src, dst, weight."""
+           on_membership: Callable[[int, DataFrame], None] | None = None,
+           max_levels: int | None = None, max_half_passes: int = MAX_HALF_PASSES) -> Result:
+    """Multi-level community detection. ``edges`` has columns src, dst, weight.
+
+    ``partitions`` (default ``spark.sql.shuffle.partitions``) is the layout of a level's edges: at
+    scale choose it so that twice the edges over it fit a task. ``hot_floor`` only decides from
+    how many rows a key is spread over several tasks. ``max_half_passes`` stops a level that
+    never settles and marks it (``LevelOutcome.guarded``). ``on_level`` gets each finished level's
+    state, ``on_membership`` its (level, vertex, community) rows, ``on_final`` the last state.
+    """
     ensure_checkpoint_dir(spark)
     P = partitions or shuffle_partitions(spark)
     level = build_level(prepare_edges(edges, self_loops), P, hot_floor=hot_floor)
@@ -168,19 +197,23 @@ def detect(spark: SparkSession, edges: DataFrame, min_progress: int = 2000, prog
     states: list[DataFrame] = []
     membership: DataFrame | None = None
     memberships: list[DataFrame] = []
+    tables: list[DataFrame] = []
     best = 0.0
     level_no = -1
     if level.vertices == 0:
-        empty = spark.createDataFrame([], "level INT, vertex BIGINT, community BIGINT")
-        levels = spark.createDataFrame(
-            [], "level INT, score DOUBLE, reported_score DOUBLE, passes INT, communities BIGINT, best_level BOOLEAN")
-        state = spark.createDataFrame([], "level INT, id BIGINT, community BIGINT, out_w BIGINT, int_n BIGINT, "
-                                          "int_w BIGINT, n BIGINT, t BIGINT, a BIGINT, changed BOOLEAN")
-        return Result(membership=empty, state=state, levels=levels, outcomes=[])
+        level.release()
+        rows, state, levels = _empty_result(spark)
+        if on_level is not None:
+            on_level(0, 0.0, state)
+        if on_membership is not None:
+            on_membership(0, rows)
+        if on_final is not None:
+            on_final(0, 0.0, state)
+        return Result(membership=rows, state=state, levels=levels, outcomes=[])
     while True:
         level_no += 1
         first_stats = moves.with_hot(level, initial_stats(level)) if level_no == 0 else None
-        out = local_moving(spark, level, level_no, min_progress, progress_counter, first_stats)
+        out = local_moving(spark, level, level_no, min_progress, progress_counter, first_stats, max_half_passes)
         outcomes.append(out)
         state = materialize(level_state(level, out))
         states.append(state)
@@ -195,35 +228,37 @@ def detect(spark: SparkSession, edges: DataFrame, min_progress: int = 2000, prog
                 F.col("id").alias("community"), F.col("community").alias("c2"),
                 (F.col("int_n") > F.lit(heavy)).alias("hot"))
             membership = lookup(membership, dim, "community").select("vertex", F.col("c2").alias("community"))
-        membership = materialize(membership.repartition(P, "vertex"))
+        membership = materialize(membership)
+        tables += [state, membership]
         memberships.append(membership.select(F.lit(level_no).alias("level"), "vertex", "community"))
         if on_level is not None:
             on_level(level_no, out.reported_score, state)
+        if on_membership is not None:
+            on_membership(level_no, memberships[-1])
         improved = out.passes > 2 and out.reported_score > best + IMPROVEMENT_EPS
         if max_levels is not None and level_no + 1 >= max_levels:
             improved = False
-        if improved:
-            best = out.reported_score
-            nxt = compress(level, out, hot_floor)
-            level.release()
-            level = nxt
-        else:
+        if not improved:
             break
+        best = out.reported_score
+        nxt = compress(level, out, hot_floor)
+        # All that later levels need of this one is checkpointed: its hypernodes and edges, the
+        # membership and its state.
+        level.release()
+        level = nxt
     if on_final is not None:
         on_final(level_no, best, states[-1])
     for o in outcomes:
-        for df in (o.assign, o.flagged, o.stats):
-            df.unpersist()
+        discard(o.flagged)
     level.release()
     best_idx = max(range(len(outcomes)), key=lambda i: (outcomes[i].reported_score, -i))
     rows = [(o.level, o.score, o.reported_score, o.passes, o.communities, i == best_idx)
             for i, o in enumerate(outcomes)]
-    levels = spark.createDataFrame(
-        rows, "level INT, score DOUBLE, reported_score DOUBLE, passes INT, communities BIGINT, best_level BOOLEAN")
+    levels = spark.createDataFrame(rows, LEVELS_SCHEMA)
     member_df = memberships[0]
     for m in memberships[1:]:
         member_df = member_df.unionByName(m)
     state_df = states[0]
     for s in states[1:]:
         state_df = state_df.unionByName(s)
-    return Result(membership=member_df, state=state_df, levels=levels, outcomes=outcomes)
+    return Result(membership=member_df, state=state_df, levels=levels, outcomes=outcomes, tables=tables)

@@ -1,9 +1,11 @@
 """Batch job: edge-list text -> multi-level communities -> per-level outputs.
 
     spark-submit commune/plans/job.py <input> <output> [-d DELIM] [-x MIN_PROGRESS]
-        [-y PROGRESS_COUNTER] [-z] [-p PARALLELISM] [--format parquet|text] [--member-lists]
+        [-y PROGRESS_COUNTER] [-z] [-p PARALLELISM] [--partitions N] [--checkpoint-dir DIR]
+        [--format parquet|text] [--member-lists] [--members-per-part N] [--max-half-passes N]
 
-Master, application name, jars and Spark properties are ``spark-submit``'s own options.
+Master, application name, jars and Spark properties are ``spark-submit``'s own options. Every
+level's state, membership and member lists are written as soon as the level is finished.
 """
 
 from __future__ import annotations
@@ -14,9 +16,10 @@ import time
 
 from pyspark.sql import SparkSession
 
-from commune.plans.detect import Result, detect
+from commune.plans.detect import MAX_HALF_PASSES, Result, detect
+from commune.session import ensure_checkpoint_dir
 from commune.sources.edges import read_edges
-from commune.sources.sinks import write_level_state, write_levels, write_membership
+from commune.sources.sinks import (MAX_PER_PART, clear_levels, write_level_state, write_levels, write_membership)
 
 log = logging.getLogger("commune.job")
 
@@ -24,9 +27,12 @@ log = logging.getLogger("commune.job")
 def run_job(spark: SparkSession, input_path: str, output: str, edge_delimiter: str = ",",
             min_progress: int = 2000, progress_counter: int = 1, ip_address: bool = False,
             parallelism: int = -1, fmt: str = "parquet", member_lists: bool = False,
-            self_loops: str = "keep", scan_mode: str = "fail") -> Result:
+            self_loops: str = "keep", scan_mode: str = "fail", partitions: int | None = None,
+            checkpoint_dir: str | None = None, max_per_part: int = MAX_PER_PART,
+            max_half_passes: int = MAX_HALF_PASSES) -> Result:
     """Scan, detect, and write every level as soon as it is finished."""
     t0 = time.time()
+    ensure_checkpoint_dir(spark, checkpoint_dir)
     scan = read_edges(spark, input_path, edge_delimiter, ip_address, scan_mode, parallelism)
     if scan.rejects is not None:
         scan.rejects.write.mode("overwrite").parquet(f"{output}/rejects")
@@ -35,10 +41,14 @@ def run_job(spark: SparkSession, input_path: str, output: str, edge_delimiter: s
         write_level_state(state, output, level, fmt)
         log.info("level %d written, reported score %.9f", level, score)
 
-    result = detect(spark, scan.edges, min_progress, progress_counter, self_loops=self_loops, on_level=on_level)
-    write_membership(result.membership, output, lists=member_lists, fmt=fmt)
+    def on_membership(level: int, rows) -> None:
+        write_membership(rows, output, level, member_lists, fmt, max_per_part)
+
+    result = detect(spark, scan.edges, min_progress, progress_counter, self_loops=self_loops, on_level=on_level,
+                    on_membership=on_membership, partitions=partitions, max_half_passes=max_half_passes)
+    clear_levels(spark, output, max(len(result.outcomes) - 1, 0))
     write_levels(result.levels, output)
-    log.info("Total running time is : %d", int(time.time() - t0))
+    log.info("finished after %d s", int(time.time() - t0))
     return result
 
 
@@ -55,13 +65,20 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("-z", "--ipaddress", action="store_true", help="ids are IPv4 dotted quads")
     p.add_argument("--format", choices=("parquet", "text"), default="parquet")
     p.add_argument("--member-lists", action="store_true", help="also write community member lists")
+    p.add_argument("--members-per-part", type=int, default=MAX_PER_PART,
+                   help="members in one part of a member list, about")
     p.add_argument("--self-loops", choices=("keep", "drop"), default="keep")
     p.add_argument("--quarantine", action="store_true", help="write malformed lines to <output>/rejects")
+    p.add_argument("--partitions", type=int, help="partitions of a level's edges (default: shuffle partitions)")
+    p.add_argument("--checkpoint-dir", help="folder that driver and executors share (default: spark.checkpoint.dir)")
+    p.add_argument("--max-half-passes", type=int, default=MAX_HALF_PASSES,
+                   help="half-passes after which a level that never settles is stopped and reported")
     a = p.parse_args(argv)
     logging.basicConfig(level=logging.INFO)
     spark = SparkSession.builder.appName("commune").getOrCreate()
     run_job(spark, a.input, a.output, a.edgedelimiter, a.minprogress, a.progresscounter, a.ipaddress,
-            a.parallelism, a.format, a.member_lists, a.self_loops, "quarantine" if a.quarantine else "fail")
+            a.parallelism, a.format, a.member_lists, a.self_loops, "quarantine" if a.quarantine else "fail",
+            a.partitions, a.checkpoint_dir, a.members_per_part, a.max_half_passes)
     return 0
 
 

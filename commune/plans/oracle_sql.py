@@ -24,9 +24,6 @@ BRAND = ("SELECT CAST(p_partkey AS BIGINT) AS id, "
          "CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS BIGINT) AS community FROM part")
 REGION = "SELECT CAST(n_nationkey AS BIGINT) AS id, CAST(n_regionkey AS BIGINT) AS community FROM nation"
 
-# Keys without a statement (none at present).
-MULTILEVEL_KEYS: tuple[str, ...] = ()
-
 # Unrolled half-pass counts on the sf0.01 tables.
 PART_SUPP_LEVEL0_HALF_PASSES_DEFAULT = 4      # (2000, 1)
 PART_SUPP_MULTILEVEL_HALF_PASSES = (6, 6)     # (2000, 2): level 0, level 1
@@ -82,11 +79,25 @@ def xv_sql(assign: str, vert: str) -> str:
     return (f"SELECT x.id, x.community, v.out_w, v.int_n, v.int_w FROM {assign} x JOIN {vert} v ON x.id = v.id")
 
 
-def stats_sql(xv: str, own: str) -> str:
-    return (f"SELECT x.community, CAST(sum(x.int_n) AS BIGINT) AS n, "
-            f"CAST(sum(x.int_w) + sum(coalesce(o.inc_own, 0)) // 2 AS BIGINT) AS a, "
-            f"CAST(sum(x.int_w + x.out_w) - sum(coalesce(o.inc_own, 0)) // 2 AS BIGINT) AS t "
-            f"FROM {xv} x LEFT JOIN {own} o ON x.id = o.id GROUP BY x.community")
+def stats_ctes(ctes: list[tuple[str, str]], p: str, edges: str, xv: str) -> None:
+    """``{p}_st``: statistics from the edges. a is the weight inside a community and inside its
+    vertices, t adds every edge that leaves it, once for each of its two communities."""
+    ctes.append((f"{p}_sa", f"SELECT x.community AS cs, e.dst, e.weight FROM {edges} e JOIN {xv} x ON e.src = x.id"))
+    ctes.append((f"{p}_sb", f"SELECT s.cs, x.community AS cd, s.weight FROM {p}_sa s JOIN {xv} x ON s.dst = x.id"))
+    ctes.append((f"{p}_sc", f"SELECT community, sum(inside) AS inside, sum(leaving) AS leaving FROM ("
+                            f"SELECT cs AS community, CASE WHEN cs = cd THEN weight ELSE 0 END AS inside, "
+                            f"CASE WHEN cs <> cd THEN weight ELSE 0 END AS leaving FROM {p}_sb UNION ALL "
+                            f"SELECT cd, 0, weight FROM {p}_sb WHERE cs <> cd) GROUP BY community"))
+    ctes.append((f"{p}_sv", f"SELECT community, sum(int_n) AS n, sum(int_w) AS w FROM {xv} GROUP BY community"))
+    ctes.append((f"{p}_st", f"SELECT v.community, CAST(v.n AS BIGINT) AS n, "
+                            f"CAST(v.w + coalesce(c.inside, 0) AS BIGINT) AS a, "
+                            f"CAST(v.w + coalesce(c.inside, 0) + coalesce(c.leaving, 0) AS BIGINT) AS t "
+                            f"FROM {p}_sv v LEFT JOIN {p}_sc c ON v.community = c.community"))
+
+
+def edges_of(sym: str) -> str:
+    """The edge CTE behind a symmetric one."""
+    return {"sym0": "e0"}.get(sym) or sym.removesuffix("_sym") + "_e"
 
 
 def initial_stats_sql(vert: str) -> str:
@@ -136,7 +147,10 @@ def half_pass_ctes(ctes: list[tuple[str, str]], p: str, sym: str, vert: str, pre
     ctes.append((f"{p}_inc", inc_sql(sym, prev)))
     ctes.append((f"{p}_own", own_sql(f"{p}_inc", prev)))
     ctes.append((f"{p}_xv", xv_sql(prev, vert)))
-    ctes.append((f"{p}_st", stats if stats is not None else stats_sql(f"{p}_xv", f"{p}_own")))
+    if stats is not None:
+        ctes.append((f"{p}_st", stats))
+    else:
+        stats_ctes(ctes, p, edges_of(sym), f"{p}_xv")
     ctes.append((f"{p}_rows", cand_rows_sql(f"{p}_inc", f"{p}_xv")))
     ctes.append((f"{p}_cand", cand_sql(f"{p}_rows", f"{p}_st")))
     ctes.append((f"{p}_best", best_sql(f"{p}_cand")))
@@ -172,10 +186,8 @@ def unrolled_level(ctes: list[tuple[str, str]], tag: str, sym: str, vert: str, s
 
 
 def final_stats(ctes: list[tuple[str, str]], tag: str, sym: str, vert: str, assign: str) -> str:
-    ctes.append((f"{tag}f_inc", inc_sql(sym, assign)))
-    ctes.append((f"{tag}f_own", own_sql(f"{tag}f_inc", assign)))
     ctes.append((f"{tag}f_xv", xv_sql(assign, vert)))
-    ctes.append((f"{tag}f_st", stats_sql(f"{tag}f_xv", f"{tag}f_own")))
+    stats_ctes(ctes, f"{tag}f", edges_of(sym), f"{tag}f_xv")
     return f"{tag}f_st"
 
 
@@ -209,13 +221,14 @@ def _scan_classify(lines_sql: str, delim: str, ip: bool) -> str:
                 "list_max(list_transform(string_split(tk, '.'), lambda o: CAST(o AS INTEGER))) <= 255)")
         id_reason = "'bad_address'"
     else:
-        okid = "regexp_full_match(tk, '[+-]?[0-9]+')"
+        okid = "(regexp_full_match(tk, '[+-]?[0-9]+') AND TRY_CAST(tk AS BIGINT) IS NOT NULL)"
         id_reason = "'bad_integer'"
     ok0 = okid.replace("tk", "toks[1]")
     ok1 = okid.replace("tk", "toks[2]")
     return (f"SELECT line, toks, CASE WHEN len(toks) < 2 OR len(toks) > 3 THEN 'token_count' "
             f"WHEN NOT (coalesce({ok0}, false) AND coalesce({ok1}, false)) THEN {id_reason} "
-            f"WHEN len(toks) = 3 AND NOT regexp_full_match(toks[3], '[+-]?[0-9]+') THEN 'bad_integer' END AS reason "
+            f"WHEN len(toks) = 3 AND NOT (regexp_full_match(toks[3], '[+-]?[0-9]+') AND TRY_CAST(toks[3] AS BIGINT) IS NOT NULL) "
+            f"THEN 'bad_integer' END AS reason "
             f"FROM (SELECT line, {toks} AS toks FROM ({lines_sql}))")
 
 
@@ -242,6 +255,8 @@ def _rejects_lines() -> str:
         "SELECT concat_ws(',', CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), o_orderpriority) AS line FROM orders",
         "SELECT concat_ws(',', CAST(c_custkey AS VARCHAR), CAST(c_nationkey AS VARCHAR), '1', '2') AS line FROM customer",
         "SELECT concat_ws(',', CAST(s_suppkey AS VARCHAR), '', CAST(s_nationkey AS VARCHAR)) AS line FROM supplier",
+        "SELECT concat('99999999999999999999,', CAST(p_partkey AS VARCHAR)) AS line FROM part",
+        "SELECT concat(CAST(p_partkey AS VARCHAR), ',2,-99999999999999999999') AS line FROM part",
     ]
     return " UNION ALL ".join([good] + bad)
 
@@ -282,8 +297,9 @@ def statements() -> dict[str, str]:
 
     # --- single half-pass operators on a fixed labelling (brand of each part) -------------
     brand = L0(COPART_ADJ) + [("lab", f"SELECT b.id, b.community FROM ({BRAND}) b JOIN v0 ON b.id = v0.id")]
-    brand += [("inc", inc_sql("sym0", "lab")), ("own", own_sql("inc", "lab")), ("xv", xv_sql("lab", "v0")),
-              ("st", stats_sql("xv", "own"))]
+    brand += [("inc", inc_sql("sym0", "lab")), ("own", own_sql("inc", "lab")), ("xv", xv_sql("lab", "v0"))]
+    stats_ctes(brand, "b", "e0", "xv")
+    brand += [("st", "SELECT * FROM b_st")]
     q["incident"] = _with(brand, "SELECT id, c AS community, inc_w FROM inc")
     q["community_stats"] = _with(brand, "SELECT community, n, a, t FROM st")
     q["state_with_stats"] = _with(brand, "SELECT x.id, x.community, s.n, s.a, s.t FROM lab x JOIN st s ON x.community = s.community")
@@ -346,6 +362,6 @@ def statements() -> dict[str, str]:
     q["multilevel"] = _with(ctes, f"SELECT 0 AS level, id, community FROM {a_l0} UNION ALL SELECT 1, id, community FROM {a_l1}")
     q["membership"] = _with(ctes, "SELECT level, vertex, community FROM mem")
     q["community_members"] = _with(ctes, (
-        "SELECT level, community, CAST(count(*) AS BIGINT) AS size, min(vertex) AS min_vertex, "
-        "max(vertex) AS max_vertex, CAST(sum(vertex) AS BIGINT) AS vertex_sum FROM mem GROUP BY level, community"))
+        "SELECT level, community, CAST(count(*) AS BIGINT) AS size, "
+        "string_agg(CAST(vertex AS VARCHAR), ',' ORDER BY vertex) AS members FROM mem GROUP BY level, community"))
     return q

@@ -1,14 +1,15 @@
 """Session helpers: a local session for tests and benches, and the checkpoint folder.
 
-On a cluster the checkpoint folder is the shared one named by ``spark.checkpoint.dir``;
-a folder of our own is chosen only when the session has none (local tests).
+On a cluster the checkpoint folder is the shared one named by ``spark.checkpoint.dir`` (or by
+the job's ``--checkpoint-dir``); a folder of our own is chosen only for local masters whose
+session has none.
 """
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "commune") -> SparkSession:
@@ -27,19 +28,42 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the reliable checkpoint folder, setting one only when none is configured."""
+def ensure_checkpoint_dir(spark: SparkSession, folder: str | None = None) -> str:
+    """Return the reliable checkpoint folder: ``folder``, the session's own, or (local masters) a new one."""
     sc = spark.sparkContext
+    if folder:
+        sc.setCheckpointDir(folder)
+        return sc.getCheckpointDir() or folder
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        # Only reached in local runs (tests, bench): a cluster names its shared folder.
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir (or pass a checkpoint folder): "
+                             f"executors of {sc.master} don't share a folder of this machine")
         configured = tempfile.mkdtemp(prefix="commune-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
+def discard(*frames: DataFrame | None) -> None:
+    """Release cached tables and delete the checkpoint files behind ``frames``.
+
+    Only for tables that nothing refers to any more: a plan over a deleted checkpoint fails.
+    """
+    for df in frames:
+        if df is None:
+            continue
+        df.unpersist()
+        plan = df._jdf.queryExecution().analyzed()
+        if not plan.getClass().getSimpleName() == "LogicalRDD":
+            continue
+        file = plan.rdd().getCheckpointFile()
+        if file.isDefined():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

@@ -16,7 +16,7 @@ def test_job_writes_levels(spark, tmp_path):
     assert len(lines) == 6 and lines[0].value.startswith("(")
     lv = spark.read.parquet(f"{out}/levels").orderBy("level").collect()
     assert [x.level for x in lv] == [0, 1]
-    mapped = {r.value for r in spark.read.text(f"{out}/vertices_Mapped").collect()}
+    mapped = {r.value for r in spark.read.text(f"{out}/members/level=0").collect()}
     assert {"1: 1,2,3", "5: 4,5,6"} <= mapped
 
 
