@@ -46,6 +46,8 @@ MAX_TOXIC, MAX_ORDINARY = 1500, 4000
 BASE_WORDS, CLASS_WORDS = 1500, 1000
 #: A class word has at least this z-score and this ratio of rates.
 MIN_Z, MIN_RATIO = 6.0, 5.0
+#: Contexts that a word needs to be counted at all.
+MIN_COUNT = 8
 
 _WINDOWS = re.compile(r"\S.{0,%d}(?!\S)|\S{1,%d}" % (WINDOW - 1, WINDOW), re.S)
 
@@ -104,7 +106,7 @@ def _class_words(sample: DataFrame) -> tuple[list[str], list[str], list[str]]:
     if not n_a or not n_b:
         return [], [], []
     rows = [(r.word, int(r.a), int(r.b)) for r in
-            counts.where(F.col("a") + F.col("b") >= 8).orderBy(F.desc(F.col("a") + F.col("b")), "word")
+            counts.where(F.col("a") + F.col("b") >= MIN_COUNT).orderBy(F.desc(F.col("a") + F.col("b")), "word")
             .limit(200_000).collect()]
     toxic, ordinary, common = [], [], []
     for w, a, b in rows:

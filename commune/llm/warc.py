@@ -14,7 +14,8 @@ scan with the magic as record separator; a range owns what starts inside it, and
 its end). Magic bytes can occur inside compressed data. A candidate is a member if its header
 and the start of its content decode as a WARC record; a member that isn't complete at the next
 candidate goes on through it. A member whose rest belongs to the next range, which happens
-only where false magic bytes lie at a boundary, is put together in a small second step.
+only where false magic bytes lie at a boundary, is put together in a small second step. Archives
+must not have names ending in .gz: Spark would unpack such a file whole instead of splitting it.
 
 Defined results: a null payload is empty; an empty payload, and any below ``min_revisit``
 bytes, is a response. Rows that repeat an id with the same payload are all responses if the id
@@ -153,21 +154,32 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if member:
                     out.append((*none, *at, "open", raw))
                 at, member, raw, first, before = (file, start), None, b"", True, False
-            # A file's first chunk is what lies before its first magic: nothing.
-            if first and start == 0 and not chunk:
+            # What lies before a file's first magic: nothing.
+            if first and start == 0:
                 first = False
+                if chunk:
+                    raise ValueError(f"{file}: bytes before the first member")
                 continue
             first = False
             if member:
-                raw += MAGIC + chunk
-                member = (member[0], member[1] + member[0].decompress(MAGIC + chunk))
-            elif opened := _open_member(chunk):
-                member, raw, before = opened, MAGIC + chunk, True
-            elif not before:
-                out.append((*none, *at, "loose", (MAGIC if start or chunk else b"") + chunk))
-                continue
-            else:
-                raise ValueError(f"{file}: bytes that are no WARC member after offset {start}")
+                try:
+                    member = (member[0], member[1] + member[0].decompress(MAGIC + chunk))
+                    raw += MAGIC + chunk
+                except zlib.error:
+                    # A tentative candidate that showed nothing yet was no member after all.
+                    if before or len(member[1]) >= 5:
+                        raise
+                    out.append((*none, *at, "loose", raw))
+                    member = None
+            if not member:
+                if opened := _open_member(chunk):
+                    member, raw = opened, MAGIC + chunk
+                elif before:
+                    raise ValueError(f"{file}: bytes that are no WARC member after offset {start}")
+                else:
+                    out.append((*none, *at, "loose", MAGIC + chunk))
+                    continue
+            before = before or len(member[1]) >= 5
             if member[0].eof:
                 if member[0].unused_data.strip(b"\x00"):
                     raise ValueError(f"{file}: bytes between members after offset {start}")
@@ -186,9 +198,17 @@ def _stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for f, kind, data in zip(*(b.column(i).to_pylist() for i in range(3))):
             if f != file:
                 held, file = b"", f
-            held = data if kind == "open" else held + data
-            z = zlib.decompressobj(31)
-            text = z.decompress(held) if held[:3] == MAGIC else b""
+            # A piece goes on with what is held if that decodes; else a new member starts with it.
+            for trial in (held + data, data) if held else (data,):
+                try:
+                    z = zlib.decompressobj(31)
+                    text = z.decompress(trial)
+                except zlib.error:
+                    continue
+                held = trial
+                break
+            else:
+                raise ValueError(f"{f}: bytes that are no WARC member")
             if z.eof:
                 out.append((*parse_record(text), None, None, None, None))
                 held = b""

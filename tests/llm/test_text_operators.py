@@ -108,7 +108,7 @@ def held(doc_id):
 
 
 def test_toxicity_learns_and_holds_out(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"  # sf0.01 holds out six toxic rows only
     rows = toxicity.query(spark, sf).collect()
     labels = {r.doc_id: r.toxic for r in table(spark, sf, "labels").collect()}
     assert len(rows) == table(spark, sf, "documents").count()
