@@ -161,6 +161,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     raise ValueError(f"{file}: bytes before the first member")
                 continue
             first = False
+            if member and not before and len(member[1]) < 5 and (_open_member(chunk) or (0, b""))[1]:
+                # A range's first candidate that showed nothing, before one that shows a record.
+                out.append((*none, *at, "loose", raw))
+                member = None
             if member:
                 try:
                     member = (member[0], member[1] + member[0].decompress(MAGIC + chunk))
