@@ -34,8 +34,8 @@ from commune.llm.common import table, text_or_empty
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Encoded words and pairs that a worker remembers between batches.
-KEPT_WORDS, KEPT_PAIRS = 200_000, 250_000
+#: Words that a worker remembers between batches, in each of two generations; pairs it remembers.
+KEPT_WORDS, KEPT_PAIRS = 250_000, 250_000
 _WORDS = re.compile(" +[^ ]*")
 
 
@@ -76,7 +76,9 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
+        #: Encoded words; those of the generation before move up when they are met again.
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         #: (piece before, piece) -> whether merging their text gives exactly the two.
         self.pairs: dict[tuple[str, str], bool] = {}
         #: End of a prefix -> sizes of pieces that may end there, longest first.
@@ -155,9 +157,9 @@ class Encoder:
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """The piece ids of each text as little-endian 32-bit integers."""
         cut, fresh = [], set()
-        known = self.known
-        if len(known) > KEPT_WORDS:
-            known.clear()
+        if len(self.known) > KEPT_WORDS:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
         for t in texts:
             if MARK in t:
                 t = t.replace(MARK, " ")
@@ -169,8 +171,10 @@ class Encoder:
                 words = t.split(" ")
             cut.append(words)
             fresh.update(words)
+        fresh.difference_update(known)
+        known.update((w, older[w]) for w in fresh if w in older)
         # Words are kept without their first mark.
-        for word, pieces in self.segment(" " + w for w in sorted(fresh.difference(known))):
+        for word, pieces in self.segment(" " + w for w in sorted(fresh.difference(older))):
             known[word[1:]] = self._ids(pieces)
         return [b"".join([known[w] for w in words]) for words in cut]
 
