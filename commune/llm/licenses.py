@@ -1,14 +1,16 @@
 """License scan: winnowed template fingerprints, an inverted index, banded alignment.
 
 Words are runs of ASCII letters and digits and non-ASCII characters, lower-cased (A-Z).
-Templates are cut into shingles of ``SHINGLE`` words; in every window of ``WINDOW`` consecutive
-shingle hashes the smallest is a fingerprint (a template with fewer has one window), kept with
-its place in an inverted index. All shingles of a document are looked up, so any stretch of
-SHINGLE + WINDOW - 1 words that a document shares with a template gives a seed. Seeds of one
-template on close diagonals are one candidate; a banded local alignment around its diagonal
-matches template words to document words in order, allowing changed, missing and further words.
-Coverage is the share of the template's words that match; candidates of at least ``min_coverage``
-are reported with their spans in words and in characters, each span once per template.
+A template of m words matches where at least ``min_coverage`` of them stand in order, so at most
+k = m - ceil(min_coverage * m) are missing. Its single words are winnowed (in every window of
+consecutive word hashes the smallest is a fingerprint) with the largest window that leaves more
+than k fingerprints, kept with their places in an inverted index: whatever words are changed,
+missing or added, one fingerprint is among the words that match. Every fingerprint found in a
+document is a seed. Seeds around which too few of the template's words stand, in any order, are
+passed over; from the others a banded alignment runs to both sides, matching template words to
+document words in order, allowing changed, missing and further words, at most ``BAND`` diagonals
+away from the seed. Coverage is the share of the template's words that match; spans of at least
+``min_coverage`` are reported in words and in characters, each span once per template.
 
 Defined results: null and empty texts have no matches. A template without words matches nothing.
 Repeated rows are scanned alike. Matches are sorted by start, then template. An empty table
@@ -19,6 +21,8 @@ the tasks); documents are only scanned, never shuffled.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -81,82 +85,121 @@ def winnow(words: list[bytes], shingle: int = SHINGLE, window: int = WINDOW) ->
     return [(h[i], i) for i in sorted(picked)]
 
 
-def align(template: tuple[bytes, ...], words: tuple[bytes, ...], shift: int, band: int = BAND) -> tuple[int, int, int]:
-    """(matches, first, end) of the best local alignment of ``template`` with ``words``.
+def fingerprints(words: list[bytes], missing: int) -> list[tuple[int, int]]:
+    """Winnowed single words, more than ``missing`` of them, by the largest window that gives so many."""
+    for window in range(len(words), 0, -1):
+        found = winnow(words, 1, window)
+        if len(found) > missing:
+            return found
+    return []
 
-    Template word i meets document words i + shift - band to i + shift + band. A match scores 2;
-    a changed, missing or further word costs 1.
+
+def extend(template: tuple[bytes, ...], words: tuple[bytes, ...], band: int = BAND) -> tuple[int, int, int]:
+    """(matches, score, end) of the best alignment of ``template`` with the start of ``words``.
+
+    Template word i meets document words i - band to i + band. The most matches are best, then the
+    highest score (a match scores 2; a changed, missing or further word costs 1), then the fewest words.
     """
     width = 2 * band + 1
-    # A cell holds (score, matches, first matched document word, end of the last matched one).
-    none = (0, 0, -1, -1)
+    # A cell holds (matches, score, - end of the last matched word); column c of row i is word i + c - band.
+    # Row -1 stands before the first template word: only further words.
+    none = (-1, 0, 0)
     before = [none] * (width + 2)
-    best = none
+    for c in range(band, width):
+        before[c + 1] = (0, band - c, 0)
+    best = (0, 0, 0)
     for i, w in enumerate(template):
         row = [none] * (width + 2)
         for c in range(1, width + 1):
-            j = i + shift - band + c - 1
-            if 0 <= j < len(words):
-                d = before[c]
-                if words[j] == w:
-                    here = (d[0] + 2, d[1] + 1, d[2] if d[2] >= 0 else j, j + 1)
-                else:
-                    here = (d[0] - 1, *d[1:])
-            else:
-                here = none
-            up, left = before[c + 1], row[c - 1]
-            if up[0] - 1 > here[0]:
-                here = (up[0] - 1, *up[1:])
-            if left[0] - 1 > here[0]:
-                here = (left[0] - 1, *left[1:])
-            row[c] = here if here[0] > 0 else none
-            if (row[c][1], row[c][0], -row[c][2]) > (best[1], best[0], -best[2]):
-                best = row[c]
+            j = i + c - 1 - band
+            if j < -1 or j >= len(words):
+                continue
+            # Cell (i, j): template words up to i and document words up to j are used.
+            d, up, left = before[c], before[c + 1], row[c - 1]
+            here = none
+            if j >= 0 and d[0] >= 0:
+                here = (d[0] + 1, d[1] + 2, -(j + 1)) if words[j] == w else (d[0], d[1] - 1, d[2])
+                if here[0] > d[0] and here > best:
+                    best = here
+            if up[0] >= 0:
+                here = max(here, (up[0], up[1] - 1, up[2]))
+            if left[0] >= 0:
+                here = max(here, (left[0], left[1] - 1, left[2]))
+            row[c] = here
         before = row
-    return best[1:]
+    return best[0], best[1], -best[2]
 
 
 class Scanner:
     """The inverted index of a set of templates."""
 
     def __init__(self, templates: dict[str, str], min_coverage: float = MIN_COVERAGE, band: int = BAND):
-        self.words = {name: tuple(normalized(t).split()) for name, t in templates.items()}
+        self.words = {name: w for name, t in templates.items() if (w := tuple(normalized(t).split()))}
         self.min_coverage, self.band = min_coverage, band
-        self.postings: dict[int, list[tuple[str, int]]] = {}
-        #: First word of a shingle -> sizes of shingles that start with it: the rest needs no hash.
-        self.firsts: dict[bytes, set[int]] = {}
+        #: Matches that a template needs; its words with their counts, the longest (as a rule the rarest) first.
+        self.needed = {name: next((c for c in range(1, len(w) + 1) if c / len(w) >= min_coverage), len(w) + 1)
+                       for name, w in self.words.items()}
+        self.counts = {name: Counter(sorted(w, key=len, reverse=True)) for name, w in self.words.items()}
+        #: Template -> fingerprint word -> its places.
+        self.postings: dict[str, dict[bytes, list[int]]] = {}
         for name, words in self.words.items():
-            size = min(SHINGLE, len(words))
-            for h, at in winnow(list(words)):
-                self.postings.setdefault(h, []).append((name, at))
-                self.firsts.setdefault(words[at], set()).add(size)
-        self.align = lru_cache(20_000)(align)
+            places = self.postings.setdefault(name, {})
+            for _, at in fingerprints(list(words), len(words) - self.needed[name]):
+                places.setdefault(words[at], []).append(at)
+        self.extend = lru_cache(20_000)(extend)
+
+    def possible(self, name: str, there) -> bool:
+        """Whether enough of the template's words are in ``there``, in any order (counts are of no account)."""
+        spare = len(self.words[name]) - self.needed[name]
+        for w, n in self.counts[name].items():
+            if w not in there:
+                spare -= n
+                if spare < 0:
+                    return False
+        return True
+
+    def seeds(self, name: str, words: list[bytes]) -> list[tuple[int, int]]:
+        """(document word, template word) of the seeds with enough of the template's words, in any order, to both sides."""
+        t, need, band, places, counts = (self.words[name], self.needed[name], self.band, self.postings[name],
+                                         self.counts[name])
+        own = [i for i, w in enumerate(words) if w in counts]
+        out = []
+        for i in own:
+            for at in places.get(words[i], ()):
+                low, high = bisect_left(own, i - at - band), bisect_left(own, i + len(t) - at + band)
+                if high - low >= need:
+                    here = bisect_left(own, i)
+                    sides = (t[:at], own[low:here]), (t[at + 1:], own[here + 1:high])
+                    if 1 + sum((Counter(part) & Counter([words[k] for k in at_])).total() for part, at_ in sides) >= need:
+                        out.append((i, at))
+        return out
+
+    def through(self, name: str, words: list[bytes], i: int, at: int) -> tuple[int, int, int, int]:
+        """(matches, score, first word, end word) of the best alignment in which document word i is template word at."""
+        t, band = self.words[name], self.band
+        if tuple(words[max(0, i - at):i - at + len(t)]) == t:
+            return len(t), 2 * len(t), i - at, i - at + len(t)
+        m1, s1, back = self.extend(t[:at][::-1], tuple(words[max(0, i - at - band):i][::-1]), band)
+        m2, s2, on = self.extend(t[at + 1:], tuple(words[i + 1:i + len(t) - at + band]), band)
+        return m1 + 1 + m2, s1 + 2 + s2, i - back, i + 1 + on
+
+    def spans(self, name: str, words: list[bytes]) -> list[tuple[int, int, int]]:
+        """(matches, first word, end word) of the template's spans: the best first, none over another."""
+        found = sorted({(-m, -s, a, b) for m, s, a, b in (self.through(name, words, *x) for x in
+                                                          self.seeds(name, words)) if m >= self.needed[name]})
+        out = []
+        for m, _, a, b in found:
+            if all(b <= c or a >= d for _, c, d in out):
+                out.append((-m, a, b))
+        return out
 
     def scan(self, text: str) -> list[tuple[str, float, int, int, int, int]]:
         """(template, coverage, first word, end word, first character, end character), sorted."""
         line = normalized(text)
         words = line.split()
-        firsts = self.firsts
-        seeds = []
-        for i in [i for i, w in enumerate(words) if w in firsts]:
-            for size in firsts[words[i]]:
-                for name, at in self.postings.get(xxhash.xxh64_intdigest(b" ".join(words[i:i + size])), ()):
-                    seeds.append((name, i - at))
-        if not seeds:
-            return []
-        found = set()
-        shown = None
-        for name, shift in sorted(set(seeds)):
-            # Seeds within half a band of a candidate's first diagonal lie in its band.
-            if shown and shown[0] == name and shift - shown[1] <= self.band // 2:
-                continue
-            shown = (name, shift)
-            t = self.words[name]
-            low = max(0, shift - self.band)
-            part = tuple(words[low:max(low, shift + len(t) + self.band)])
-            matches, first, end = self.align(t, part, shift - low, self.band)
-            if matches / len(t) >= self.min_coverage:
-                found.add((name, matches / len(t), low + first, low + end))
+        there = set(words)
+        found = [(name, m / len(t), a, b) for name, t in self.words.items() if self.possible(name, there)
+                 for m, a, b in self.spans(name, words)]
         if not found:
             return []
         spans = [m.span() for m in _WORD.finditer(line)]

@@ -278,6 +278,33 @@ def test_license_scan_finds_what_brute_force_finds(spark):
             assert abs(found[name] - want) < 1e-9
 
 
+@pytest.mark.parametrize("name", sorted(licenses.TEMPLATES))
+def test_license_scan_finds_changed_dropped_and_added_words(name):
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    rnd = random.Random(name)
+    template = list(scanner.words[name])
+    spare = int(len(template) * (1 - licenses.MIN_COVERAGE))
+    for _ in range(25):
+        words = [[w] for w in template]
+        for at in rnd.sample(range(len(words)), rnd.randint(0, min(spare + 1, len(words)))):
+            words[at] = rnd.choice([[], [b"changed"]])
+        for at in rnd.sample(range(len(words)), min(rnd.randint(0, 4), len(words))):
+            words[at] = words[at] + [b"added"]
+        filler = [b"filler"] * rnd.randint(0, 9)
+        tokens = filler + [w for part in words for w in part] + filler
+        want = brute_coverage(scanner.words[name], tokens)
+        found = {m[1] for m in scanner.scan(b" ".join(tokens).decode()) if m[0] == name}
+        assert found == ({want} if want >= licenses.MIN_COVERAGE else set())
+
+
+@pytest.mark.parametrize("text, name, coverage", [
+    ("Distributed under the MIT License", "MIT", 4 / 5),
+    ("Licensed under Apache License, Version 2.0", "Apache-2.0", 7 / 8),
+    ("Licensed under the Apache Software License, Version 2.0", "Apache-2.0", 1.0)])
+def test_license_scan_finds_broken_short_notices(text, name, coverage):
+    assert [(m[0], m[1]) for m in licenses.Scanner(licenses.TEMPLATES).scan(text)] == [(name, coverage)]
+
+
 def test_winnowing_guarantee():
     rnd = random.Random(2)
     words = [str(rnd.randrange(50)).encode() for _ in range(200)]
