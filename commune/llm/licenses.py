@@ -10,7 +10,8 @@ document is a seed. Seeds around which too few of the template's words stand, in
 passed over; from the others a banded alignment runs to both sides, matching template words to
 document words in order, allowing changed, missing and further words, at most ``BAND`` diagonals
 away from the seed. Coverage is the share of the template's words that match; spans of at least
-``min_coverage`` are reported in words and in characters, each span once per template.
+``min_coverage`` are reported in words and in characters, each span once per template. Spans of one
+template don't overlap: of notices that follow one another each has its own.
 
 Defined results: null and empty texts have no matches. A template without words matches nothing.
 Repeated rows are scanned alike. Matches are sorted by start, then template. An empty table
@@ -25,6 +26,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heappop, heappush
 
 import pandas as pd
 import xxhash
@@ -65,6 +67,7 @@ TEMPLATES = {
 _KEEP = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32
               for b in range(256))
 _WORD = re.compile(rb"[^ ]+")
+_NEVER = -(1 << 60)
 
 
 def normalized(text: str) -> bytes:
@@ -94,19 +97,22 @@ def fingerprints(words: list[bytes], missing: int) -> list[tuple[int, int]]:
     return []
 
 
-def extend(template: tuple[bytes, ...], words: tuple[bytes, ...], band: int = BAND) -> tuple[int, int, int]:
+def extend(template: tuple[bytes, ...], words: tuple[bytes, ...], band: int = BAND,
+           by_score: bool = False) -> tuple[int, int, int]:
     """(matches, score, end) of the best alignment of ``template`` with the start of ``words``.
 
-    Template word i meets document words i - band to i + band. The most matches are best, then the
-    highest score (a match scores 2; a changed, missing or further word costs 1), then the fewest words.
+    Template word i meets document words i - band to i + band. A match scores 2; a changed, missing or
+    further word costs 1. The most matches are best, then the highest score (``by_score``: the highest
+    score, then the most matches), then the fewest words.
     """
     width = 2 * band + 1
-    # A cell holds (matches, score, - end of the last matched word); column c of row i is word i + c - band.
-    # Row -1 stands before the first template word: only further words.
-    none = (-1, 0, 0)
+    # A cell holds (matches, score, - end of the last matched word), with ``by_score`` the score first;
+    # column c of row i is word i + c - band. Row -1 stands before the first template word: only further words.
+    (hit_1, hit_2), (gap_1, gap_2) = ((2, 1), (-1, 0)) if by_score else ((1, 2), (0, -1))
+    none = (_NEVER, 0, 0)
     before = [none] * (width + 2)
     for c in range(band, width):
-        before[c + 1] = (0, band - c, 0)
+        before[c + 1] = ((c - band) * gap_1, (c - band) * gap_2, 0)
     best = (0, 0, 0)
     for i, w in enumerate(template):
         row = [none] * (width + 2)
@@ -117,17 +123,19 @@ def extend(template: tuple[bytes, ...], words: tuple[bytes, ...], band: int = BA
             # Cell (i, j): template words up to i and document words up to j are used.
             d, up, left = before[c], before[c + 1], row[c - 1]
             here = none
-            if j >= 0 and d[0] >= 0:
-                here = (d[0] + 1, d[1] + 2, -(j + 1)) if words[j] == w else (d[0], d[1] - 1, d[2])
-                if here[0] > d[0] and here > best:
-                    best = here
-            if up[0] >= 0:
-                here = max(here, (up[0], up[1] - 1, up[2]))
-            if left[0] >= 0:
-                here = max(here, (left[0], left[1] - 1, left[2]))
+            if j >= 0 and d is not none:
+                if words[j] == w:
+                    here = (d[0] + hit_1, d[1] + hit_2, -(j + 1))
+                    best = max(best, here)
+                else:
+                    here = (d[0] + gap_1, d[1] + gap_2, d[2])
+            if up is not none:
+                here = max(here, (up[0] + gap_1, up[1] + gap_2, up[2]))
+            if left is not none:
+                here = max(here, (left[0] + gap_1, left[1] + gap_2, left[2]))
             row[c] = here
         before = row
-    return best[0], best[1], -best[2]
+    return (best[1], best[0], -best[2]) if by_score else (best[0], best[1], -best[2])
 
 
 class Scanner:
@@ -174,23 +182,55 @@ class Scanner:
                         out.append((i, at))
         return out
 
-    def through(self, name: str, words: list[bytes], i: int, at: int) -> tuple[int, int, int, int]:
-        """(matches, score, first word, end word) of the best alignment in which document word i is template word at."""
+    def through(self, name: str, words: list[bytes], i: int, at: int, low: int, high: int,
+                by_score: bool = False) -> tuple[int, int, int, int]:
+        """(matches, score, first word, end word) of the best alignment in which document word i is template word at.
+
+        Only document words ``low`` to ``high`` are used.
+        """
         t, band = self.words[name], self.band
-        if tuple(words[max(0, i - at):i - at + len(t)]) == t:
-            return len(t), 2 * len(t), i - at, i - at + len(t)
-        m1, s1, back = self.extend(t[:at][::-1], tuple(words[max(0, i - at - band):i][::-1]), band)
-        m2, s2, on = self.extend(t[at + 1:], tuple(words[i + 1:i + len(t) - at + band]), band)
+        start = i - at
+        if low <= start and start + len(t) <= high and tuple(words[start:start + len(t)]) == t:
+            return len(t), 2 * len(t), start, start + len(t)
+        m1, s1, back = self.extend(t[:at][::-1], tuple(words[max(low, start - band):i][::-1]), band, by_score)
+        m2, s2, on = self.extend(t[at + 1:], tuple(words[i + 1:min(high, start + len(t) + band)]), band, by_score)
         return m1 + 1 + m2, s1 + 2 + s2, i - back, i + 1 + on
 
     def spans(self, name: str, words: list[bytes]) -> list[tuple[int, int, int]]:
-        """(matches, first word, end word) of the template's spans: the best first, none over another."""
-        found = sorted({(-m, -s, a, b) for m, s, a, b in (self.through(name, words, *x) for x in
-                                                          self.seeds(name, words)) if m >= self.needed[name]})
+        """(matches, first word, end word) of the template's spans, in order, none over another.
+
+        The span of the highest score is taken first, so that notices that follow one another are told
+        apart; a seed whose span meets a taken one is aligned again with the words left free beside it.
+        At last each span takes in what further matches are free between its neighbours.
+        """
+        need, queue, taken = self.needed[name], [], []
+
+        def aligned(i: int, at: int, low: int, high: int) -> None:
+            m, score, a, b = self.through(name, words, i, at, low, high, True)
+            if m < need:
+                m, score, a, b = self.through(name, words, i, at, low, high)
+            if m >= need:
+                heappush(queue, (-score, b - a, a, b, i, at))
+
+        for i, at in self.seeds(name, words):
+            aligned(i, at, 0, len(words))
+        while queue:
+            _, _, a, b, i, at = heappop(queue)
+            k = bisect_left(taken, (i + 1,))
+            low = taken[k - 1][1] if k else 0
+            high = taken[k][0] if k < len(taken) else len(words)
+            if i < low:
+                continue
+            if low <= a and b <= high:
+                taken.insert(k, (a, b, i, at))
+            else:
+                aligned(i, at, low, high)
         out = []
-        for m, _, a, b in found:
-            if all(b <= c or a >= d for _, c, d in out):
-                out.append((-m, a, b))
+        for k, (_, _, i, at) in enumerate(taken):
+            low = out[-1][2] if out else 0
+            high = taken[k + 1][0] if k + 1 < len(taken) else len(words)
+            m, _, a, b = self.through(name, words, i, at, low, high)
+            out.append((m, a, b))
         return out
 
     def scan(self, text: str) -> list[tuple[str, float, int, int, int, int]]:

@@ -305,6 +305,25 @@ def test_license_scan_finds_broken_short_notices(text, name, coverage):
     assert [(m[0], m[1]) for m in licenses.Scanner(licenses.TEMPLATES).scan(text)] == [(name, coverage)]
 
 
+@pytest.mark.parametrize("name", sorted(licenses.TEMPLATES))
+@pytest.mark.parametrize("times", [2, 3])
+def test_license_scan_finds_each_repeat(name, times):
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    size = len(scanner.words[name])
+    found = [m[1:4] for m in scanner.scan(" ".join([licenses.TEMPLATES[name]] * times)) if m[0] == name]
+    assert found == [(1.0, k * size, (k + 1) * size) for k in range(times)]
+
+
+@pytest.mark.parametrize("text, spans", [
+    ("Released under the License. Under the MIT License.", [(0.8, 0, 4), (0.8, 4, 8)]),
+    ("Released under the MIT License under the MIT License", [(1.0, 0, 5), (0.8, 5, 9)]),
+    ("Released under MIT License, released under the License, released the MIT License",
+     [(0.8, 0, 4), (0.8, 4, 8), (0.8, 8, 12)]),
+    ("Released a b c under the MIT License", [(1.0, 0, 8)])])
+def test_license_scan_tells_broken_repeats_apart(text, spans):
+    assert [m[1:4] for m in licenses.Scanner(licenses.TEMPLATES).scan(text)] == spans
+
+
 def test_winnowing_guarantee():
     rnd = random.Random(2)
     words = [str(rnd.randrange(50)).encode() for _ in range(200)]
