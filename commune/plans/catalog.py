@@ -24,7 +24,7 @@ from commune.operators.skew import lookup
 from commune.session import ensure_checkpoint_dir, shuffle_partitions
 from commune.sources import tables
 from commune.sources.edges import edges_to_lines, parse_edge_lines
-from commune.sources.sinks import member_lists
+from commune.sources.sinks import community_rows
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -295,9 +295,7 @@ def q_membership(spark, sf_dir):
 
 
 def q_community_members(spark, sf_dir):
-    m = _multilevel(spark, sf_dir).membership
-    lists = member_lists(m)
-    return lists.select("level", "community", "size", F.array_join("members", ",").alias("members"))
+    return community_rows(_multilevel(spark, sf_dir).membership)
 
 
 CATALOG: dict[str, Builder] = {

@@ -1,5 +1,7 @@
 import os
 
+import pytest
+
 from commune.plans.job import run_job
 from commune.streaming import edge_stream
 
@@ -39,3 +41,26 @@ def test_member_lists_split_large_communities(spark):
     assert {p.part for p in parts if p.community == 0} == set(range(5))
     every = sorted(v for p in parts for v in p.members)
     assert every == list(range(1000))
+
+
+def test_community_members_are_one_row_of_any_size(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from commune.plans import catalog
+    from commune.sources.sinks import MAX_PER_PART
+    n = 2 * MAX_PER_PART + 2
+    m = spark.range(0, n).selectExpr("0 AS level", "id AS vertex", "CAST(id % 2 AS BIGINT) AS community")
+    monkeypatch.setattr(catalog, "_multilevel", lambda *_: SimpleNamespace(membership=m))
+    rows = sorted(map(tuple, catalog.CATALOG["community_members"](spark, "").collect()))
+    assert rows == [(0, c, n // 2, ",".join(map(str, range(c, n, 2)))) for c in (0, 1)]
+
+
+@pytest.mark.parametrize("max_per_part", [1, 3, 1000])
+def test_community_rows_do_not_depend_on_the_parts(spark, max_per_part):
+    from commune.sources.sinks import community_rows
+    groups = {(0, 1): [-5, 3, 20, 100, 1000, 2**62, 2**62 + 1, -2**63, 2**63 - 1], (0, 2): [7], (1, 1): list(range(50)),
+              (1, 9): [10, 11, 12, 900_000, 900_001, 900_002, 900_003]}
+    m = spark.createDataFrame([(l, v, c) for (l, c), found in groups.items() for v in reversed(found)],
+                              "level int, vertex bigint, community bigint")
+    rows = sorted(map(tuple, community_rows(m, max_per_part).collect()))
+    assert rows == sorted((l, c, len(v), ",".join(map(str, sorted(v)))) for (l, c), v in groups.items())
