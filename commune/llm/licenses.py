@@ -11,7 +11,9 @@ passed over; from the others a banded alignment runs to both sides, matching tem
 document words in order, allowing changed, missing and further words, at most ``BAND`` diagonals
 away from the seed. Coverage is the share of the template's words that match; spans of at least
 ``min_coverage`` are reported in words and in characters, each span once per template. Spans of one
-template don't overlap: of notices that follow one another each has its own.
+template don't overlap: of notices that follow one another each has its own. Of near variants the best
+wins: the operator drops a match whose matched words all match another template, too, that has
+more matched words there, or as many and a larger coverage; equal ones stay.
 
 Defined results: null and empty texts have no matches. A template without words matches nothing.
 Repeated rows are scanned alike. Matches are sorted by start, then template. An empty table
@@ -34,6 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from commune.llm.common import table, text_or_empty
+from commune.llm.license_texts import TEXTS
 
 SHINGLE, WINDOW, BAND, MIN_COVERAGE = 3, 4, 8, 0.8
 
@@ -62,6 +65,7 @@ TEMPLATES = {
         'documentation files (the "Software"), to deal in the Software without restriction, including without '
         "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of "
         "the Software, and to permit persons to whom the Software is furnished to do so"),
+    **TEXTS,
 }
 
 _KEEP = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32
@@ -84,7 +88,8 @@ def winnow(words: list[bytes], shingle: int = SHINGLE, window: int = WINDOW) ->
     picked = set()
     for k in range(max(1, len(h) - window + 1)):
         part = h[k:k + window]
-        picked.add(k + max(i for i, x in enumerate(part) if x == min(part)))
+        least = min(part)
+        picked.add(k + max(i for i, x in enumerate(part) if x == least))
     return [(h[i], i) for i in sorted(picked)]
 
 
@@ -249,6 +254,49 @@ class Scanner:
                       key=lambda m: (m[2], m[0], m[3]))
 
 
+def matched(template: tuple[bytes, ...], words: list[bytes], first: int, end: int) -> set[int]:
+    """The document words from ``first`` to ``end`` that match ``template`` in order, as many as possible."""
+    n, m = len(template), end - first
+    most = [[0] * (m + 1) for _ in range(n + 1)]
+    for i in range(n - 1, -1, -1):
+        for j in range(m - 1, -1, -1):
+            same = template[i] == words[first + j]
+            most[i][j] = 1 + most[i + 1][j + 1] if same else max(most[i + 1][j], most[i][j + 1])
+    i = j = 0
+    out = set()
+    while i < n and j < m:
+        if template[i] == words[first + j]:
+            out.add(first + j)
+            i, j = i + 1, j + 1
+        elif most[i + 1][j] >= most[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
+def best_matches(scanner: Scanner, text: str) -> list[tuple[str, float, int, int, int, int]]:
+    """The matches of ``text`` without those that a better one of another template explains."""
+    found = scanner.scan(text)
+    words = normalized(text).split() if len(found) > 1 else []
+    sets: dict[int, set[int]] = {}
+
+    def own(k: int) -> set[int]:
+        if k not in sets:
+            sets[k] = matched(scanner.words[found[k][0]], words, *found[k][2:4])
+        return sets[k]
+
+    rank = [(round(m[1] * len(scanner.words[m[0]])), m[1]) for m in found]
+    longest = max((m[3] - m[2] for m in found), default=0)
+    starts = [m[2] for m in found]
+    out = []
+    for k, m in enumerate(found):
+        near = range(bisect_left(starts, m[2] - longest), bisect_left(starts, m[3]))
+        if not any(found[o][3] > m[2] and found[o][0] != m[0] and rank[o] > rank[k] and own(k) <= own(o) for o in near):
+            out.append(m)
+    return out
+
+
 def scan_column(text: Column, templates: dict[str, str] | None = None, min_coverage: float = MIN_COVERAGE) -> Column:
     """array<struct<template, coverage, first_word, end_word, first_char, end_char>>."""
     chosen = dict(TEMPLATES if templates is None else templates)
@@ -259,7 +307,7 @@ def scan_column(text: Column, templates: dict[str, str] | None = None, min_cover
         s = Scanner(chosen, min_coverage)
         names = ["template", "coverage", "first_word", "end_word", "first_char", "end_char"]
         for b in batches:
-            rows = [list(map(list, zip(*m))) if (m := s.scan(t)) else [[] for _ in names] for t in b]
+            rows = [list(map(list, zip(*m))) if (m := best_matches(s, t)) else [[] for _ in names] for t in b]
             yield pd.DataFrame(rows, columns=names)
 
     return scanned(text_or_empty(text))

@@ -324,6 +324,20 @@ def test_license_scan_tells_broken_repeats_apart(text, spans):
     assert [m[1:4] for m in licenses.Scanner(licenses.TEMPLATES).scan(text)] == spans
 
 
+@pytest.mark.parametrize("name", sorted(licenses.TEMPLATES))
+def test_license_variants_are_told_apart(name):
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    text = f"filler {licenses.TEMPLATES[name]} filler"
+    assert [m[:2] for m in licenses.best_matches(scanner, text)] == [(name, 1.0)]
+
+
+def test_license_scan_knows_near_variants_and_keeps_neighbours(spark):
+    texts = ["Licensed under CC BY-NC-SA 4.0", licenses.TEMPLATES["GPL-3.0-header"].replace("version 3", "version 2"),
+             "Licensed under the Apache License, Version 2.0 or under the MIT License"]
+    rows = licenses.scan(docs_of(spark, texts)).orderBy("doc_id").collect()
+    assert [list(r.licenses) for r in rows] == [["CC-BY-NC-SA-4.0"], ["GPL-2.0-header"], ["Apache-2.0", "MIT"]]
+
+
 def test_winnowing_guarantee():
     rnd = random.Random(2)
     words = [str(rnd.randrange(50)).encode() for _ in range(200)]
