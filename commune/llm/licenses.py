@@ -9,7 +9,7 @@ missing or added, one fingerprint is among the words that match. Every fingerpri
 document is a seed. Seeds around which too few of the template's words stand, in any order, are
 passed over; from the others a banded alignment runs to both sides, matching template words to
 document words in order, allowing changed, missing and further words, at most ``BAND`` diagonals
-away from the seed. Coverage is the share of the template's words that match; spans of at least
+(k, if that is more) away from the seed. Coverage is the share of the template's words that match; spans of at least
 ``min_coverage`` are reported in words and in characters, each span once per template. Spans of one
 template don't overlap: of notices that follow one another each has its own. Of near variants the best
 wins: the operator drops a match whose matched words all match another template, too, that has
@@ -148,10 +148,12 @@ class Scanner:
 
     def __init__(self, templates: dict[str, str], min_coverage: float = MIN_COVERAGE, band: int = BAND):
         self.words = {name: w for name, t in templates.items() if (w := tuple(normalized(t).split()))}
-        self.min_coverage, self.band = min_coverage, band
+        self.min_coverage = min_coverage
         #: Matches that a template needs; its words with their counts, the longest (as a rule the rarest) first.
         self.needed = {name: next((c for c in range(1, len(w) + 1) if c / len(w) >= min_coverage), len(w) + 1)
                        for name, w in self.words.items()}
+        #: Missing words alone shift the diagonal by as many.
+        self.bands = {name: max(band, len(w) - self.needed[name]) for name, w in self.words.items()}
         self.counts = {name: Counter(sorted(w, key=len, reverse=True)) for name, w in self.words.items()}
         #: Template -> fingerprint word -> its places.
         self.postings: dict[str, dict[bytes, list[int]]] = {}
@@ -173,7 +175,7 @@ class Scanner:
 
     def seeds(self, name: str, words: list[bytes]) -> list[tuple[int, int]]:
         """(document word, template word) of the seeds with enough of the template's words, in any order, to both sides."""
-        t, need, band, places, counts = (self.words[name], self.needed[name], self.band, self.postings[name],
+        t, need, band, places, counts = (self.words[name], self.needed[name], self.bands[name], self.postings[name],
                                          self.counts[name])
         own = [i for i, w in enumerate(words) if w in counts]
         out = []
@@ -193,7 +195,7 @@ class Scanner:
 
         Only document words ``low`` to ``high`` are used.
         """
-        t, band = self.words[name], self.band
+        t, band = self.words[name], self.bands[name]
         start = i - at
         if low <= start and start + len(t) <= high and tuple(words[start:start + len(t)]) == t:
             return len(t), 2 * len(t), start, start + len(t)
