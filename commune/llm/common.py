@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from commune.session import ensure_checkpoint_dir
 from commune.sources.tables import table
 
-__all__ = ["table", "cut", "scratch_path", "text_or_empty", "held_out", "bounded_sample", "labelled_sample"]
+__all__ = ["table", "cut", "scratch_path", "text_or_empty", "held_out", "bounded_sample", "labelled_sample",
+           "char_slices", "give_back"]
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -55,3 +60,26 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: Column,
         picked = part if picked is None else picked.unionByName(part)
     rows = documents.select("doc_id", text_or_empty("text").alias("text"))
     return rows.join(F.broadcast(picked), "doc_id"), counts
+
+
+def char_slices(texts, chars: int) -> Iterator:
+    """Runs of rows of a batch of about ``chars`` characters: what is made of one is held at a time."""
+    sizes = texts.str.len().to_numpy()
+    start, held = 0, 0
+    for k, n in enumerate(sizes):
+        if held and held + n > chars:
+            yield texts.iloc[start:k]
+            start, held = k, 0
+        held += int(n) + 1
+    if start < len(texts):
+        yield texts.iloc[start:]
+
+
+def give_back() -> None:
+    """Return freed memory to the system: worker processes live on after a task and its batches."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass

@@ -14,14 +14,15 @@ the reference library). Characters without a piece become the pieces of their UT
 
 Defined results: a null text is an empty one, an empty text has no pieces. U+2581 in a text is
 read as a space, as in the original library. Decoding joins pieces and bytes (invalid UTF-8
-becomes U+FFFD) and removes the space in front. Repeated rows are encoded alike. The vocabulary
-(bounded by the model file) travels with the tasks; the file's path is a parameter.
+becomes U+FFFD) and removes the space in front. Repeated rows are encoded alike. The model file
+travels with the tasks; its path is a parameter. What a worker remembers is bounded in bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import sys
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -30,12 +31,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from commune.llm.common import table, text_or_empty
+from commune.llm.common import char_slices, give_back, table, text_or_empty
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Words that a worker remembers between batches, in each of two generations; pairs it remembers.
-KEPT_WORDS, KEPT_PAIRS = 250_000, 250_000
+#: What a worker remembers between slices of its rows, in bytes: encoded words in each of two
+#: generations, and the pairs and ends of prefixes met. A word beyond ``LONGEST_KEPT`` characters is
+#: encoded whole like any other but not remembered.
+KEPT_BYTES, LONGEST_KEPT = 16 << 20, 64
+#: Characters of the rows that are encoded together.
+SLICE = 500_000
+#: Bytes of a dictionary's own entry, about.
+_ENTRY = 100
 _WORDS = re.compile(" +[^ ]*")
 
 
@@ -51,9 +58,18 @@ class Vocabulary:
 
 
 def load_vocabulary(path: str = MODEL_PATH) -> Vocabulary:
+    return read_vocabulary(_model(path))
+
+
+def _model(path: str) -> bytes:
+    with open(path, "rb") as file:
+        return file.read()
+
+
+def read_vocabulary(model: bytes) -> Vocabulary:
     import sentencepiece
 
-    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    sp = sentencepiece.SentencePieceProcessor(model_proto=model)
     ids, scores, byte_ids, decoded = {}, {}, [0] * 256, []
     for i in range(sp.get_piece_size()):
         piece = sp.id_to_piece(i)
@@ -72,10 +88,11 @@ def load_vocabulary(path: str = MODEL_PATH) -> Vocabulary:
 
 
 class Encoder:
-    """Encodes batches of texts; keeps words and pairs it has seen, within bounds."""
+    """Encodes runs of texts; keeps words and pairs it has seen, each within ``kept_bytes``."""
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.v = vocabulary
+    def __init__(self, vocabulary: Vocabulary, kept_bytes: int = KEPT_BYTES):
+        self.v, self.kept_bytes = vocabulary, kept_bytes
+        self.words_held = self.pairs_held = self.ends_held = 0
         #: Encoded words; those of the generation before move up when they are met again.
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -102,14 +119,18 @@ class Encoder:
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
 
     def stable(self, before: str, piece: str) -> bool:
-        if len(self.pairs) > KEPT_PAIRS:
+        if self.pairs_held > self.kept_bytes:
             self.pairs.clear()
+            self.pairs_held = 0
+        self.pairs_held += 3 * _ENTRY + len(before) + len(piece)
         ok = self.pairs[before, piece] = self.merged(before + piece) == ([before, piece] if before else [piece])
         return ok
 
     def _sizes(self, end: str) -> tuple[int, ...]:
-        if len(self.ends) > KEPT_PAIRS:
+        if self.ends_held > self.kept_bytes:
             self.ends.clear()
+            self.ends_held = 0
+        self.ends_held += 3 * _ENTRY
         sizes = {n for k in range(len(end)) for n in self.by_end.get(end[k:], ()) if k == 0 or n == len(end) - k}
         self.ends[end] = found = tuple(sorted(sizes | {1}, reverse=True))
         return found
@@ -157,9 +178,9 @@ class Encoder:
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """The piece ids of each text as little-endian 32-bit integers."""
         cut, fresh = [], set()
-        if len(self.known) > KEPT_WORDS:
-            self.older, self.known = self.known, {}
-        known, older = self.known, self.older
+        if self.words_held > self.kept_bytes:
+            self.older, self.known, self.words_held = self.known, {}, 0
+        known, older, size = self.known, self.older, sys.getsizeof
         for t in texts:
             if MARK in t:
                 t = t.replace(MARK, " ")
@@ -176,7 +197,13 @@ class Encoder:
         # Words are kept without their first mark.
         for word, pieces in self.segment(" " + w for w in sorted(fresh.difference(older))):
             known[word[1:]] = self._ids(pieces)
-        return [b"".join([known[w] for w in words]) for words in cut]
+        made = [b"".join([known[w] for w in words]) for words in cut]
+        for w in fresh:
+            if len(w) > LONGEST_KEPT:
+                del known[w]
+            else:
+                self.words_held += size(w) + size(known[w]) + _ENTRY
+        return made
 
 
 def decode(ids: Iterable[int], vocabulary: Vocabulary) -> str:
@@ -185,44 +212,43 @@ def decode(ids: Iterable[int], vocabulary: Vocabulary) -> str:
     return text[1:] if text[:1] == " " else text
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[bytes, Encoder] = {}
 
 
-def _encoder(vocabulary: Vocabulary, key: str) -> Encoder:
-    """One encoder per worker process and model: later tasks meet words that earlier ones encoded."""
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(vocabulary)
-    return _ENCODERS[key]
-
+def _encoder(model: bytes) -> Encoder:
+    """One encoder per worker process and model: later tasks meet words that earlier ones encoded.
 
-def _slices(b: pd.Series, chars: int = 2_000_000) -> Iterator[pd.Series]:
-    """Runs of rows of about ``chars`` characters: the words of one are held at a time."""
-    size = max(1, int(chars * len(b) / max(1, b.str.len().sum())))
-    for k in range(0, len(b), size):
-        yield b.iloc[k:k + size]
+    Tasks carry the model file, not the tables made of it, which a worker makes once.
+    """
+    if model not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[model] = Encoder(read_vocabulary(model))
+    return _ENCODERS[model]
 
 
 def encode_column(text: Column, path: str = MODEL_PATH) -> Column:
     """The piece ids of a text, array<int>."""
-    vocabulary = load_vocabulary(path)
+    model = _model(path)
 
     @F.pandas_udf("array<int>")
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        e = _encoder(vocabulary, path)
+        e = _encoder(model)
         for b in batches:
-            yield pd.Series([np.frombuffer(x, "<i4") for s in _slices(b) for x in e.encode(s)], dtype=object)
+            for s in char_slices(b, SLICE):
+                yield pd.Series([np.frombuffer(x, "<i4") for x in e.encode(s)], dtype=object)
+        give_back()
 
     return encoded(text_or_empty(text))
 
 
 def decode_column(ids: Column, path: str = MODEL_PATH) -> Column:
     """The text of piece ids; null ids give an empty text."""
-    vocabulary = load_vocabulary(path)
+    model = _model(path)
 
     @F.pandas_udf("string")
     def decoded(b: pd.Series) -> pd.Series:
-        return pd.Series([decode([] if x is None else x.tolist(), vocabulary) for x in b], dtype=object)
+        known = _encoder(model).v
+        return pd.Series([decode([] if x is None else x.tolist(), known) for x in b], dtype=object)
 
     return decoded(ids)
 
@@ -232,19 +258,20 @@ def digest_column(text: Column, path: str = MODEL_PATH) -> Column:
 
     ids_sha256 is over the ids as little-endian 32-bit integers.
     """
-    vocabulary = load_vocabulary(path)
+    model = _model(path)
 
     @F.pandas_udf("n_pieces bigint, ids_sha256 string, decoded_sha256 string, round_trip boolean")
     def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        e = _encoder(vocabulary, path)
+        e = _encoder(model)
         for b in batches:
-            out = []
-            for s in _slices(b):
+            for s in char_slices(b, SLICE):
+                out = []
                 for t, x in zip(s, e.encode(s)):
-                    back = decode(np.frombuffer(x, "<i4").tolist(), vocabulary)
+                    back = decode(np.frombuffer(x, "<i4").tolist(), e.v)
                     out.append((len(x) // 4, hashlib.sha256(x).hexdigest(),
                                 hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == t))
-            yield pd.DataFrame(out, columns=["n_pieces", "ids_sha256", "decoded_sha256", "round_trip"])
+                yield pd.DataFrame(out, columns=["n_pieces", "ids_sha256", "decoded_sha256", "round_trip"])
+        give_back()
 
     return digests(text_or_empty(text))
 

@@ -31,14 +31,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from commune.llm.common import held_out, labelled_sample, table, text_or_empty
+from commune.llm.common import give_back, held_out, labelled_sample, table, text_or_empty
 
 BUCKETS = 2048
 GRADES = 3
 #: Bound of the training sample: labelled rows per grade.
 LIMITS = {0: 1500, 1: 1000, 2: 2000}
-#: Words whose features a task remembers.
-KEPT_WORDS = 100_000
+#: Words whose features a task remembers, none of them longer than ``LONGEST_KEPT`` characters.
+KEPT_WORDS, LONGEST_KEPT = 50_000, 64
 MIN_TAIL = 0.5
 _UPPER, _LOWER_RUN = re.compile(r"[^\W\d_a-zß-öø-ÿ]+"), re.compile(r"[^\W\d_A]+")
 
@@ -50,7 +50,7 @@ def shape(word: str) -> str:
 
 def buckets_of(word: str) -> tuple[int, int, int]:
     h = xxhash.xxh32_intdigest
-    return (h("w" + word.lower()) % BUCKETS, h("e" + word[-3:]) % BUCKETS, h("s" + shape(word)[:24]) % BUCKETS)
+    return (h("w" + word.lower()) % BUCKETS, h("e" + word[-3:]) % BUCKETS, h("s" + shape(word)) % BUCKETS)
 
 
 REPEAT = xxhash.xxh32_intdigest("repeats the word before") % BUCKETS
@@ -65,9 +65,11 @@ def features(text: str, known: dict) -> np.ndarray:
         for w in words:
             b = known.get(w)
             if b is None:
-                if len(known) > KEPT_WORDS:
-                    known.clear()
-                b = known[w] = buckets_of(w)
+                b = buckets_of(w)
+                if len(w) <= LONGEST_KEPT:
+                    if len(known) > KEPT_WORDS:
+                        known.clear()
+                    known[w] = b
             at += b
         x += np.bincount(at, minlength=BUCKETS)
         x[REPEAT] += sum(a == b for a, b in pairwise(words))
@@ -159,6 +161,8 @@ def rating_column(model: QualityModel, text: Column) -> Column:
                 tails = np.where(np.isnan(means), np.nan, 1.0)[None, :].repeat(GRADES - 1, 0)
             tails = np.nan_to_num(tails)
             yield pd.DataFrame({"expected": tails.sum(0), "tail": tails[0]})
+        known.clear()
+        give_back()
 
     return rating(text_or_empty(text))
 

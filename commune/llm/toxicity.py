@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from commune.llm.common import held_out, labelled_sample, table, text_or_empty
+from commune.llm.common import give_back, held_out, labelled_sample, table, text_or_empty
 
 #: Characters of a window; a longer word is cut.
 WINDOW = 64
@@ -184,6 +184,7 @@ def score_column(model: ToxicityModel, text: Column) -> Column:
             x = np.array([statistics(s, t, o) for s in b]).reshape(len(b), N_STATS)
             v = np.c_[(x - z[0]) / z[1], np.ones(len(x))] @ z[2]
             yield pd.Series(1 / (1 + np.exp(-np.clip(v, -30, 30))))
+        give_back()
 
     return score(text_or_empty(text))
 
