@@ -38,9 +38,11 @@ MARK = "▁"
 #: What a worker remembers between slices of its rows, in bytes: encoded words in each of two
 #: generations, and the pairs and ends of prefixes met. A word beyond ``LONGEST_KEPT`` characters is
 #: encoded whole like any other but not remembered.
-KEPT_BYTES, LONGEST_KEPT = 16 << 20, 64
+KEPT_BYTES, LONGEST_KEPT = 32 << 20, 64
+#: Bytes of the pairs, which all words share and which cost most to find again.
+KEPT_PAIR_BYTES = 64 << 20
 #: Characters of the rows that are encoded together.
-SLICE = 500_000
+SLICE = 1_000_000
 #: Bytes of a dictionary's own entry, about.
 _ENTRY = 100
 _WORDS = re.compile(" +[^ ]*")
@@ -90,8 +92,8 @@ def read_vocabulary(model: bytes) -> Vocabulary:
 class Encoder:
     """Encodes runs of texts; keeps words and pairs it has seen, each within ``kept_bytes``."""
 
-    def __init__(self, vocabulary: Vocabulary, kept_bytes: int = KEPT_BYTES):
-        self.v, self.kept_bytes = vocabulary, kept_bytes
+    def __init__(self, vocabulary: Vocabulary, kept_bytes: int = KEPT_BYTES, kept_pair_bytes: int = KEPT_PAIR_BYTES):
+        self.v, self.kept_bytes, self.kept_pair_bytes = vocabulary, kept_bytes, kept_pair_bytes
         self.words_held = self.pairs_held = self.ends_held = 0
         #: Encoded words; those of the generation before move up when they are met again.
         self.known: dict[str, bytes] = {}
@@ -119,7 +121,7 @@ class Encoder:
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
 
     def stable(self, before: str, piece: str) -> bool:
-        if self.pairs_held > self.kept_bytes:
+        if self.pairs_held > self.kept_pair_bytes:
             self.pairs.clear()
             self.pairs_held = 0
         self.pairs_held += 3 * _ENTRY + len(before) + len(piece)

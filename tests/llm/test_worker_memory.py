@@ -15,7 +15,7 @@ def test_encoder_memory_is_bounded_in_bytes():
     letters = "abcdefghij éß中"
     texts = ["".join(rng.choice(letters) for _ in range(300)) for _ in range(400)]
     texts += ["x" * 30_000, "long" * 50, "", "long" * 50]
-    small, free = Encoder(v, kept_bytes=20_000), Encoder(v)
+    small, free = Encoder(v, kept_bytes=20_000, kept_pair_bytes=20_000), Encoder(v)
     for k in range(0, len(texts), 7):
         part = texts[k:k + 7]
         assert small.encode(part) == free.encode(part)
