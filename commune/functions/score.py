@@ -13,6 +13,8 @@ product can overflow.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,3 +58,29 @@ def stay_gain_sql(n: str, a: str, t: str, inc_own: str, out_w: str, int_n: str,
     without = score_sql(f"{n} - {int_n}", f"{a} - {int_w} - {inc_own}", f"{t} - {out_w} - {int_w} + {inc_own}",
                         total_vertices)
     return f"({score_sql(n, a, t, total_vertices)} - {without})"
+
+
+# Sums of doubles that don't depend on the order of the rows: three integer limbs of 30 bits per
+# term below ``2 ** power``, summed as BIGINT (up to 2^33 rows).
+
+
+def exponent(largest: float) -> int:
+    """The smallest power of two above ``largest``."""
+    return math.frexp(largest)[1]
+
+
+def limb_sums(term: Column, power: int) -> list[Column]:
+    """Aggregates: the sums of the limbs of ``term``, highest first."""
+    rest, sums = term, []
+    for k in (1, 2, 3):
+        unit = math.ldexp(1.0, power - 30 * k)
+        limb = F.floor(rest / F.lit(unit))
+        rest = rest - limb.cast("double") * F.lit(unit)
+        sums.append(F.sum(limb))
+    return sums
+
+
+def limbs_total(limbs: list[int | None], power: int) -> float:
+    """The sum that ``limb_sums`` stand for, rounded once."""
+    high, middle, low = (int(x or 0) for x in limbs)
+    return math.ldexp(float((high << 60) + (middle << 30) + low), power - 90)

@@ -1,19 +1,18 @@
 """Working graph of one level, built from an edge list with DataFrame operators.
 
-* ``sym(id, nbr, w, ...)``: every edge seen from both ends, reciprocal pairs summed, a
-  self-loop counted twice. It carries the receiving vertex's attributes, which are
-  constant within a level, and, if the level has hubs, a ``salt`` that splits hub neighbours
-  over several partitions. The summed pairs are checkpointed once per level; the table itself is
-  laid out by hash of ``nbr`` (or ``(nbr, salt)``) and cached. A cached layout is kept by later
-  joins, while a checkpoint's is not (under adaptive execution its partitioning is unknown), so
-  the message join of every half-pass streams ``sym`` without a shuffle.
+* ``sym(id, nbr, w)``: every edge seen from both ends, reciprocal pairs summed, a self-loop
+  counted twice. If the level has hubs it also carries ``hub`` (the receiving vertex is one) and a
+  ``salt`` that splits hub neighbours over several partitions. The summed pairs are checkpointed
+  once per level; the table itself is laid out by hash of ``nbr`` (or ``(nbr, salt)``) and cached.
+  A cached layout is kept by later joins, while a checkpoint's is not (under adaptive execution its
+  partitioning is unknown), so the message join of every half-pass streams ``sym`` without a shuffle.
 * ``vert(id, out_w, int_n, int_w, deg_cnt)``: per-vertex constants.
 * ``hubs(id, salts)``: vertices with more sym rows than twice a partition's share
-  (at most ``partitions / 2`` rows), used for salting and skew-safe joins.
+  (at most ``partitions / 2`` rows), used for salting and skew-safe joins; none if not ``salted``.
 
-The input is evaluated once per level. Pairs are summed and degrees counted with map-side
-partial aggregation, and the pairs meet the vertices by a skew-safe join, so no task holds a
-whole hub on either side.
+The input is evaluated once per level: each edge gives both of its directions, and pairs are summed
+and degrees counted with map-side partial aggregation. A level's partitions follow its rows
+(``level_partitions``), so a level of a dozen vertices is one task and no shuffle.
 """
 
 from __future__ import annotations
@@ -21,11 +20,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from commune.operators.skew import hot_threshold, lookup
-from commune.session import discard
+from commune.operators.skew import hot_threshold
+from commune.session import broadcast_ok, discard
 
 # Smallest row count that can make a key hot: below it a graph stays unsalted. It only decides
 # how rows are spread, never what is computed.
@@ -37,6 +36,21 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def materialize_observed(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+    """``materialize`` and the ``metrics`` (aggregates over its rows), gathered by the same job.
+
+    They are collected in the job's last stage, where a repeated task counts once.
+    """
+    seen = Observation()
+    out = materialize(df.observe(seen, *[m.alias(k) for k, m in metrics.items()]))
+    return out, seen.get
+
+
+def level_partitions(sym_rows: int, most: int, hot_floor: int = DEFAULT_HOT_FLOOR) -> int:
+    """Partitions of a level: one for each ``2 * hot_floor`` rows of ``sym`` (4 MB by default), up to ``most``."""
+    return max(1, min(most, -(-sym_rows // max(2 * hot_floor, 1))))
+
+
 def merge_edges(edges: DataFrame) -> DataFrame:
     """Sum the weights of parallel edges (same ordered pair)."""
     return edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
@@ -53,9 +67,11 @@ def weighted_degree(edges: DataFrame) -> DataFrame:
 
 
 def symmetrize(edges: DataFrame) -> DataFrame:
-    """(id, nbr, w): both directions of every edge, summed per (id, nbr)."""
-    both = edges.select(F.col("src").alias("id"), F.col("dst").alias("nbr"), F.col("weight").alias("w")).unionAll(
-        edges.select(F.col("dst").alias("id"), F.col("src").alias("nbr"), F.col("weight").alias("w")))
+    """(id, nbr, w): both directions of every edge, summed per (id, nbr). The edges are read once."""
+    def end(a: str, b: str) -> Column:
+        return F.struct(F.col(a).alias("id"), F.col(b).alias("nbr"), F.col("weight").alias("w"))
+
+    both = edges.select(F.inline(F.array(end("src", "dst"), end("dst", "src"))))
     return both.groupBy("id", "nbr").agg(F.sum("w").alias("w"))
 
 
@@ -71,14 +87,31 @@ class Level:
     pairs: DataFrame
     sym: DataFrame
     vert: DataFrame
-    hubs: DataFrame
+    hubs: DataFrame | None
     vertices: int
     sym_rows: int
     total_vertices: int
     partitions: int
+    most_partitions: int
     hot_rows: int
     hot_members: int
     salted: bool
+    small: bool  # a row per vertex is provably small enough to broadcast
+
+    def lay_out(self, df: DataFrame, *keys: str) -> DataFrame:
+        """``df`` dealt over the level's partitions by hash of ``keys``; a single one takes no shuffle."""
+        return _lay_out(df, self.partitions, *keys)
+
+    def per_vertex(self, df: DataFrame, laid_out: bool = False) -> DataFrame:
+        """``df``, of at most a row per vertex (and salt), as the build side of a join.
+
+        Broadcast where the number of vertices proves it small, else built by partition. Two tables
+        that are both ``laid_out`` by the join's key need no broadcast, unless they are one
+        partition each: Spark would deal those anew.
+        """
+        if self.small and not self.salted and (self.partitions == 1 or not laid_out):
+            return F.broadcast(df)
+        return df.hint("shuffle_hash")
 
     @property
     def msg_keys(self) -> list[str]:
@@ -90,15 +123,20 @@ class Level:
         discard(self.sym, self.pairs, self.hubs, self.vert)
 
 
+def _lay_out(df: DataFrame, partitions: int, *keys: str) -> DataFrame:
+    return df.coalesce(1) if partitions == 1 else df.repartition(partitions, *keys)
+
+
 def build_level(edges: DataFrame, partitions: int, total_vertices: int | None = None,
                 vertex_attrs: DataFrame | None = None, hot_floor: int = DEFAULT_HOT_FLOOR) -> Level:
-    """Prepare one level from ``edges``; parallel edges are summed.
+    """Prepare one level from ``edges``; parallel edges are summed. ``partitions`` is the most it may have.
 
     ``vertex_attrs(id, out_w, int_n, int_w)`` describes hypernodes (levels >= 1); at level 0
     every vertex has int_n = 1, int_w = 0 and out_w = its weighted degree.
     """
-    P = partitions
-    pairs = materialize(symmetrize(edges))
+    pairs, seen = materialize_observed(symmetrize(edges), rows=F.count(F.lit(1)))
+    sym_rows = int(seen["rows"])
+    P = level_partitions(sym_rows, partitions, hot_floor)
     deg = pairs.groupBy("id").agg(F.count(F.lit(1)).alias("deg_cnt"), F.sum("w").alias("degree"))
     if vertex_attrs is None:
         vert = deg.select("id", F.col("degree").alias("out_w"), F.lit(1).cast("bigint").alias("int_n"),
@@ -106,36 +144,35 @@ def build_level(edges: DataFrame, partitions: int, total_vertices: int | None =
     else:
         vert = vertex_attrs.join(deg.select("id", "deg_cnt"), "id", "left").select(
             "id", "out_w", "int_n", "int_w", F.coalesce("deg_cnt", F.lit(0).cast("bigint")).alias("deg_cnt"))
-    vert = materialize(vert)
-    counts = vert.agg(F.count(F.lit(1)).alias("v"), F.sum("deg_cnt").alias("r"), F.max("deg_cnt").alias("m")).first()
-    n_vertices, sym_rows = int(counts["v"]), int(counts["r"] or 0)
+    vert, seen = materialize_observed(vert, vertices=F.count(F.lit(1)), largest=F.max("deg_cnt"))
+    n_vertices = int(seen["vertices"])
     if total_vertices is None:
         total_vertices = n_vertices
     hot_rows = hot_threshold(sym_rows, P, hot_floor)
     hot_members = hot_threshold(n_vertices, P, hot_floor)
     share = max(sym_rows // P, 1)
-    salted = int(counts["m"] or 0) > hot_rows
-    hubs = materialize(
-        vert.where(F.col("deg_cnt") > hot_rows)
-        .select("id", F.ceil(F.col("deg_cnt") / F.lit(share)).cast("int").alias("salts"))
-        .coalesce(1))
-    consts = vert.select("id", "out_w", "int_n", "int_w", (F.col("deg_cnt") > hot_rows).alias("hot"))
+    salted = int(seen["largest"] or 0) > hot_rows
+    hubs = None
     if salted:
         # A hub's rows are spread over ``salts`` partitions by a hash of the other end.
-        sym = lookup(pairs, consts, "id")
-        hub_salt = hubs.select(F.col("id").alias("nbr"), "salts")
-        sym = sym.join(F.broadcast(hub_salt), "nbr", "left").select(
-            "id", "nbr", "w", "out_w", "int_n", "int_w",
+        hubs = materialize(
+            vert.where(F.col("deg_cnt") > hot_rows)
+            .select("id", F.ceil(F.col("deg_cnt") / F.lit(share)).cast("int").alias("salts"))
+            .coalesce(1))
+        sender = F.broadcast(hubs.select(F.col("id").alias("nbr"), "salts"))
+        receiver = F.broadcast(hubs.select("id", F.lit(True).alias("hub")))
+        sym = pairs.join(sender, "nbr", "left").join(receiver, "id", "left").select(
+            "id", "nbr", "w", F.coalesce("hub", F.lit(False)).alias("hub"),
             F.when(F.col("salts").isNull(), F.lit(0))
             .otherwise(F.pmod(F.xxhash64("id"), F.col("salts"))).cast("int").alias("salt"))
-        sym = sym.repartition(P, "nbr", "salt")
+        sym = _lay_out(sym, P, "nbr", "salt")
     else:
-        sym = pairs.join(consts.drop("hot"), "id").select("id", "nbr", "w", "out_w", "int_n", "int_w")
-        sym = sym.repartition(P, "nbr")
+        sym = _lay_out(pairs, P, "nbr")
     sym = sym.persist(StorageLevel.MEMORY_AND_DISK)
     return Level(pairs=pairs, sym=sym, vert=vert, hubs=hubs, vertices=n_vertices, sym_rows=sym_rows,
-                 total_vertices=total_vertices, partitions=P, hot_rows=hot_rows, hot_members=hot_members,
-                 salted=salted)
+                 total_vertices=total_vertices, partitions=P, most_partitions=partitions, hot_rows=hot_rows,
+                 hot_members=hot_members, salted=salted,
+                 small=broadcast_ok(pairs.sparkSession, n_vertices))
 
 
 def singleton_assignment(level: Level) -> DataFrame:

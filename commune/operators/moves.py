@@ -1,54 +1,90 @@
 """One half-pass of parallel local moving, as DataFrame operators.
 
-Given an assignment ``(id, community)`` of the level's vertices:
-
-1. ``incident``: each vertex's weight towards every adjacent community. One join of the
-   cached ``sym`` table with the assignment on ``(nbr, salt)`` (``sym`` keeps its layout, so only
-   the assignment is shuffled) and one aggregate by ``(id, community)`` that combines map-side:
-   the first message-sized shuffle.
-2. ``flag_own``: marks the row of the vertex's own community (a join on ``(id, c)`` that
-   only moves the assignment).
+Given the level's vertices with their communities:
+
+1. ``incident_parts``: each vertex's weight towards every adjacent community. The cached ``sym``
+   is joined with the assignment on ``nbr`` (it keeps its layout, so only the assignment is
+   shuffled); the messages are laid out by the receiving vertex and summed there: the one
+   message-sized shuffle. Hubs, of which there are at most ``partitions / 2``, are a part of their
+   own: their messages are summed by ``(id, c)`` with map-side partial aggregation instead.
+2. ``flagged_parts``: adds the vertex's constants and marks the row of its own community, by a join
+   in that layout (hubs: by a broadcast of the hubs).
 3. ``community_stats``: n, a, t per community from the vertices and their own-community
    rows: a = sum(int_w) + sum(own inc)/2, t = sum(int_w + out_w) - sum(own inc)/2.
 4. ``with_gains``: the join gain of every (vertex, adjacent community), by a broadcast of the
    statistics where their size is proven, else by a skew-safe join (one more message shuffle).
-5. ``vertex_summary``: per vertex the own weight and the max of struct(gain, community), one
-   partially aggregated pass: the second message-sized shuffle, and a sort aggregate, since
-   hash aggregates don't take struct buffers and ties must go to the larger id.
+5. ``best_moves``: per vertex the largest gain, then the largest community among those that reach
+   it: two hash aggregates on primitive values in the layout by vertex, neither sorting nor
+   shuffling messages.
 6. ``decide``: compare with the stay value, apply the half-pass direction rule.
+
+The flagged rows have three readers (statistics, largest gain, its community) and are cached in their
+layout for the half-pass; their lineage is short, so a lost block is cheap.
+
+A half-pass after few moves needs only the frontier. ``touched`` communities are those that a mover
+left or joined; statistics and memberships of all others stand. ``frontier`` is every vertex in a
+touched community or next to one. For all other vertices the value of staying and the best
+candidate are those of the half-pass before, which the state carries, so messages are made for
+the frontier alone.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from commune.functions.score import ceil_score, join_gain_sql, reported_score, stay_gain_sql
+from commune.functions.score import (ceil_score, exponent, join_gain_sql, limb_sums, limbs_total, reported_score,
+                                     stay_gain_sql)
 from commune.operators.graph import Level
 from commune.operators.skew import lookup
 
 LONG_MAX = 9223372036854775807
+CONSTANTS = ("out_w", "int_n", "int_w")
+
+
+def vertex_table(level: Level, assign: DataFrame) -> DataFrame:
+    """``assign`` with the vertices' constants, laid out by vertex."""
+    rows = assign if "deg_cnt" in assign.columns else assign.join(level.vert, "id")
+    return level.lay_out(rows, "id")
 
 
-def _assignment_targets(level: Level, assign: DataFrame) -> DataFrame:
-    """Assignment rows keyed like ``sym``: hub vertices are replicated once per salt."""
+def _as_senders(level: Level, rows: DataFrame) -> DataFrame:
+    """``rows`` of vertices keyed and laid out like ``sym``: a hub's row stands once per salt."""
+    named = rows.withColumnRenamed("id", "nbr")
     if not level.salted:
-        return assign.select(F.col("id").alias("nbr"), F.col("community").alias("c")).repartition(
-            level.partitions, "nbr")
-    salted = assign.select("id", "community").join(F.broadcast(level.hubs), "id", "left")
+        return named if level.small else level.lay_out(named, "nbr")
+    hubs = level.hubs.select(F.col("id").alias("nbr"), "salts")
     salt = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)) - 1))
-    return (salted.select(F.col("id").alias("nbr"), F.col("community").alias("c"), salt.alias("salt"))
-            .repartition(level.partitions, "nbr", "salt"))
+    spread = named.join(F.broadcast(hubs), "nbr", "left").withColumn("salt", salt).drop("salts")
+    return level.lay_out(spread, "nbr", "salt")
 
 
-def incident(level: Level, assign: DataFrame) -> DataFrame:
-    """(id, c, inc_w, out_w, int_n, int_w): weight from vertex id to community c."""
+def _summed(messages: DataFrame) -> DataFrame:
+    return messages.groupBy("id", "c").agg(F.sum("w").alias("inc_w"))
+
+
+def _parts(level: Level, messages: DataFrame) -> list[DataFrame]:
+    """(id, c, inc_w) of ordinary vertices laid out by vertex, and of hubs spread by (id, c)."""
+    if not level.salted:
+        return [_summed(level.lay_out(messages, "id"))]
+    return [_summed(level.lay_out(messages.where(~F.col("hub")).drop("hub"), "id")),
+            _summed(messages.where("hub"))]
+
+
+def incident_parts(level: Level, assign: DataFrame) -> list[DataFrame]:
     # Hash join built on the assignment side (V rows over ``partitions``): the 2E-row ``sym`` is
     # streamed from its cached layout, neither shuffled nor sorted (tests/test_scale.py).
-    msgs = level.sym.join(_assignment_targets(level, assign).hint("shuffle_hash"), level.msg_keys)
-    return msgs.groupBy("id", "c").agg(
-        F.sum("w").alias("inc_w"), F.max("out_w").alias("out_w"), F.max("int_n").alias("int_n"),
-        F.max("int_w").alias("int_w"))
+    senders = _as_senders(level, assign.select("id", F.col("community").alias("c")))
+    messages = level.sym.join(level.per_vertex(senders), level.msg_keys)
+    return _parts(level, messages.select("id", "c", "w", *(["hub"] if level.salted else [])))
+
+
+def incident(level: Level, assign: DataFrame) -> DataFrame:
+    """(id, c, inc_w): weight from vertex id to community c."""
+    return reduce(DataFrame.unionByName, incident_parts(level, assign))
 
 
 def flag_own(inc: DataFrame, assign: DataFrame) -> DataFrame:
@@ -57,22 +93,81 @@ def flag_own(inc: DataFrame, assign: DataFrame) -> DataFrame:
     return inc.join(own.hint("shuffle_hash"), ["id", "c"], "left").withColumn("own", F.coalesce(F.col("own"), F.lit(False)))
 
 
-def community_stats(level: Level, assign: DataFrame, flagged: DataFrame) -> DataFrame:
-    """(community, n, a, t, vol_rows, members, hot) for the communities of ``assign``."""
-    per_vertex = assign.select("id", "community").join(level.vert, "id").select(
+def flagged_parts(level: Level, vertices: DataFrame, parts: list[DataFrame]) -> list[DataFrame]:
+    """Each part as (id, c, inc_w, own, out_w, int_n, int_w); ``vertices`` is a ``vertex_table``."""
+    dim = vertices.select("id", F.col("community").alias("own_c"), *CONSTANTS)
+    joined = [parts[0].join(level.per_vertex(dim, laid_out=True), "id")]
+    if len(parts) > 1:
+        joined.append(parts[1].join(F.broadcast(dim.join(F.broadcast(level.hubs.select("id")), "id")), "id"))
+    # By XOR: a filter on an equality would become a join key, for which this layout doesn't hold.
+    own = F.col("c").bitwiseXOR(F.col("own_c")) == 0
+    return [j.select("id", "c", "inc_w", own.alias("own"), *CONSTANTS) for j in joined]
+
+
+def touched_communities(state: DataFrame) -> DataFrame:
+    """(community) that some mover of the half-pass behind ``state`` left or joined."""
+    return state.where("changed").select(F.explode(F.array("community", "prev")).alias("community")).distinct()
+
+
+def frontier(level: Level, state: DataFrame, touched: DataFrame) -> DataFrame:
+    """(id, deg_cnt) of the vertices in a touched community or next to one.
+
+    ``touched`` is small by the caller's proof. ``sym`` is scanned in place, not shuffled.
+    """
+    inside = state.join(F.broadcast(touched), "community", "left_semi").select("id")
+    near = level.sym.join(level.per_vertex(_as_senders(level, inside)), level.msg_keys).select("id")
+    return inside.unionByName(near).distinct().join(state.select("id", "deg_cnt"), "id")
+
+
+def frontier_parts(level: Level, state: DataFrame, front: DataFrame) -> list[DataFrame]:
+    """``incident_parts`` of the vertices of ``front`` alone.
+
+    ``sym`` holds both directions, so a frontier vertex's rows are met where it is the neighbour,
+    in place; what is shuffled is as large as the frontier's edges.
+    """
+    seen = level.sym.select("id", *level.msg_keys, "w").join(
+        level.per_vertex(_as_senders(level, front.select("id"))), level.msg_keys)
+    rows = seen.select(F.col("nbr").alias("id"), F.col("id").alias("sender"), "w")
+    senders = state.select(F.col("id").alias("sender"), F.col("community").alias("c"),
+                           (F.col("deg_cnt") > level.hot_rows).alias("hot"))
+    if not level.salted:
+        return _parts(level, rows.join(level.per_vertex(senders.drop("hot")), "sender").select("id", "c", "w"))
+    hubs = F.broadcast(level.hubs.select("id", F.lit(True).alias("hub")))
+    messages = lookup(rows, senders, "sender").join(hubs, "id", "left")
+    return _parts(level, messages.select("id", "c", "w", F.coalesce("hub", F.lit(False)).alias("hub")))
+
+
+def community_stats(level: Level, assign: DataFrame, flagged: DataFrame,
+                    touched: DataFrame | None = None) -> DataFrame:
+    """(community, n, a, t, vol_rows, members, hot) for the communities of ``assign``.
+
+    With ``touched``, ``flagged`` need hold only the rows of touched communities' members; the
+    others keep the a and t that their members carry.
+    """
+    rows = assign if "deg_cnt" in assign.columns else assign.join(level.vert, "id")
+    zero, none = F.lit(0).cast("bigint"), F.lit(None).cast("bigint")
+    if touched is None:
+        old_a = old_t = none
+    else:
+        rows = rows.join(F.broadcast(touched.withColumn("anew", F.lit(True))), "community", "left")
+        old_a, old_t = (F.when(F.col("anew").isNull(), F.col(x)) for x in ("a", "t"))
+    per_vertex = rows.select(
         "community", F.col("int_n").alias("n_part"), F.col("int_w").alias("a_part"),
         (F.col("int_w") + F.col("out_w")).alias("t_part"), F.col("deg_cnt").alias("vol_part"),
-        F.lit(1).cast("bigint").alias("m_part"), F.lit(0).cast("bigint").alias("inc2"))
-    zero = F.lit(0).cast("bigint")
+        F.lit(1).cast("bigint").alias("m_part"), zero.alias("inc2"), old_a.alias("old_a"), old_t.alias("old_t"))
     own_rows = flagged.where("own").select(
-        F.col("c").alias("community"), zero.alias("n_part"), zero.alias("a_part"), zero.alias("t_part"),
-        zero.alias("vol_part"), zero.alias("m_part"), F.col("inc_w").alias("inc2"))
-    agg = per_vertex.unionByName(own_rows).groupBy("community").agg(
+        F.col("c").alias("community"), *[zero.alias(x) for x in ("n_part", "a_part", "t_part", "vol_part", "m_part")],
+        F.col("inc_w").alias("inc2"), none.alias("old_a"), none.alias("old_t"))
+    both = per_vertex.unionByName(own_rows)
+    agg = (both.coalesce(1) if level.partitions == 1 else both).groupBy("community").agg(
         F.sum("n_part").alias("n"), F.sum("a_part").alias("a0"), F.sum("t_part").alias("t0"),
-        F.sum("vol_part").alias("vol_rows"), F.sum("m_part").alias("members"), F.sum("inc2").alias("inc2"))
+        F.sum("vol_part").alias("vol_rows"), F.sum("m_part").alias("members"), F.sum("inc2").alias("inc2"),
+        F.max("old_a").alias("old_a"), F.max("old_t").alias("old_t"))
     half = F.expr("inc2 div 2")
-    return with_hot(level, agg.select("community", "n", (F.col("a0") + half).alias("a"),
-                                      (F.col("t0") - half).alias("t"), "vol_rows", "members"))
+    a, t = F.col("a0") + half, F.col("t0") - half
+    if touched is not None:
+        a, t = F.coalesce("old_a", a), F.coalesce("old_t", t)
+    return with_hot(level, agg.select("community", "n", a.alias("a"), t.alias("t"), "vol_rows", "members"))
 
 
 def with_hot(level: Level, stats: DataFrame) -> DataFrame:
@@ -81,72 +176,120 @@ def with_hot(level: Level, stats: DataFrame) -> DataFrame:
         "hot", (F.col("vol_rows") > F.lit(level.hot_rows)) | (F.col("members") > F.lit(level.hot_members)))
 
 
+def _stats_by_c(stats: DataFrame) -> DataFrame:
+    return stats.select(F.col("community").alias("c"), F.col("n").alias("cn"), F.col("a").alias("ca"),
+                        F.col("t").alias("ct"), "hot")
+
+
 def with_gains(level: Level, flagged: DataFrame, stats: DataFrame, broadcast_stats: bool) -> DataFrame:
     """(id, c, own, inc_w, gain): the join gain of every (vertex, adjacent community)."""
-    dim = stats.select(F.col("community").alias("c"), F.col("n").alias("cn"), F.col("a").alias("ca"),
-                       F.col("t").alias("ct"), "hot")
-    joined = lookup(flagged, dim, "c", broadcast_all=broadcast_stats)
+    joined = lookup(flagged, _stats_by_c(stats), "c", broadcast_all=broadcast_stats)
     gain = F.expr(join_gain_sql("cn", "ca", "ct", "inc_w", "out_w", "int_n", "int_w", level.total_vertices))
     return joined.select("id", "c", "own", "inc_w", gain.alias("gain"))
 
 
-def vertex_view(level: Level, assign: DataFrame, stats: DataFrame, broadcast_stats: bool) -> DataFrame:
-    """Per vertex: id, community, changed, out_w, int_n, int_w, deg_cnt, n, a, t of its community."""
-    dim = stats.select("community", "n", "a", "t", "hot")
-    base = assign.join(level.vert, "id")
-    return lookup(base, dim, "community", broadcast_all=broadcast_stats)
+def _best(level: Level, gains: DataFrame, hub: bool) -> DataFrame:
+    """(id, inc_own, best_gain, best_c): largest gain of another community, then its largest id."""
+    most = gains.groupBy("id").agg(F.max(F.when(~F.col("own"), F.col("gain"))).alias("best_gain"),
+                                   F.max(F.when(F.col("own"), F.col("inc_w"))).alias("inc_own"))
+    known = F.broadcast(most) if hub else level.per_vertex(most, laid_out=True)
+    reached = ~F.col("own") & (F.col("gain") == F.col("best_gain"))
+    return gains.join(known, "id").groupBy("id").agg(
+        F.max("inc_own").alias("inc_own"), F.max("best_gain").alias("best_gain"),
+        F.max(F.when(reached, F.col("c"))).alias("best_c"))
 
 
-def vertex_summary(level: Level, flagged: DataFrame, stats: DataFrame, broadcast_stats: bool) -> DataFrame:
-    """Per vertex with messages, one aggregate over all its incident rows:
-    (id, inc_own, best_gain, best_c). ``inc_own`` is null when the vertex has no neighbour
-    in its own community; own rows give a null struct, which ``max`` skips. Partial
-    aggregation bounds what a hub sends to its final task."""
-    joined = with_gains(level, flagged, stats, broadcast_stats)
-    agg = joined.groupBy("id").agg(
-        F.sum(F.when(F.col("own"), F.col("inc_w"))).alias("inc_own"),
-        F.max(F.when(~F.col("own"), F.struct("gain", "c"))).alias("best"))
-    return agg.select("id", "inc_own", F.col("best.gain").alias("best_gain"), F.col("best.c").alias("best_c"))
+def best_moves(level: Level, parts: list[DataFrame], stats: DataFrame,
+               broadcast_stats: bool) -> tuple[DataFrame, list[DataFrame]]:
+    """Per vertex with messages (id, inc_own, best_gain, best_c), and the cached tables to release.
 
+    ``inc_own`` is null when the vertex has no neighbour in its own community, ``best_c`` when it
+    has none in another. Gains are computed twice where the statistics are broadcast; where they
+    come by a shuffle, they are laid out by vertex and cached.
+    """
+    found, cached = [], []
+    for k, part in enumerate(parts):
+        gains = with_gains(level, part, stats, broadcast_stats)
+        if not broadcast_stats:
+            gains = (gains if k else level.lay_out(gains, "id")).persist(StorageLevel.MEMORY_AND_DISK)
+            cached.append(gains)
+        found.append(_best(level, gains, hub=k > 0))
+    return reduce(DataFrame.unionByName, found), cached
+
+
+def settle(down: bool) -> dict[str, Column]:
+    """``target`` and ``move`` from community, own_value, best_gain and best_c.
+
+    On a positive tie the larger id wins, on another staying does. ``down`` (the first, third, ...
+    half-pass) lets vertices move only to a smaller community id; otherwise only to a larger one.
+    """
+    community, best_c, own_value = F.col("community"), F.col("best_c"), F.col("own_value")
+    own_tb = F.when(own_value > 0, community).otherwise(F.lit(LONG_MAX))
+    take = best_c.isNotNull() & ((F.col("best_gain") > own_value)
+                                 | ((F.col("best_gain") == own_value) & (best_c > own_tb)))
+    target = F.when(take, best_c).otherwise(community)
+    allowed = (community > target) if down else (community < target)
+    return {"target": target, "move": take & (target != community) & allowed}
 
-def decide(level: Level, assign: DataFrame, flagged: DataFrame, stats: DataFrame, down: bool,
-           broadcast_stats: bool, detail: bool = False) -> DataFrame:
-    """New assignment (id, community, changed) after one half-pass.
 
-    ``down`` (the first, third, ... half-pass) lets vertices move only to a smaller
-    community id; otherwise only to a larger one. With ``detail`` the stay value and the
-    best candidate are kept as extra columns.
+def decide(level: Level, vertices: DataFrame, parts: list[DataFrame], stats: DataFrame, down: bool,
+           broadcast_stats: bool, detail: bool = False,
+           front: DataFrame | None = None) -> tuple[DataFrame, list[DataFrame]]:
+    """The state after one half-pass, and the cached tables to release.
+
+    State: id, community, changed, prev (the community before), the vertex's constants, n, a, t
+    of ``prev``, and what the decision rests on: own_value, best_gain, best_c. With ``detail`` the
+    stay gain and the best community are kept as extra columns. With ``front``, all other
+    vertices keep the values that ``vertices`` carries.
     """
     N = level.total_vertices
-    summary = vertex_summary(level, flagged, stats, broadcast_stats)
-    v = vertex_view(level, assign.select("id", "community"), stats, broadcast_stats)
-    v = v.join(summary, "id", "left")
-    stay = F.expr(stay_gain_sql("n", "a", "t", "coalesce(inc_own, 0L)", "out_w", "int_n", "int_w", N))
-    own_value = F.when(F.col("inc_own").isNotNull(), F.greatest(stay, F.lit(0.0))).otherwise(stay)
-    v = v.select("id", "community", "best_gain", "best_c", stay.alias("stay"), own_value.alias("own_value"))
-    own_tb = F.when(F.col("own_value") > 0, F.col("community")).otherwise(F.lit(LONG_MAX))
-    take = F.col("best_c").isNotNull() & (
-        (F.col("best_gain") > F.col("own_value"))
-        | ((F.col("best_gain") == F.col("own_value")) & (F.col("best_c") > own_tb)))
-    target = F.when(take, F.col("best_c")).otherwise(F.col("community"))
-    direction_ok = (F.col("community") > target) if down else (F.col("community") < target)
-    move = take & (target != F.col("community")) & direction_ok
-    cols = [
-        "id",
-        F.when(move, target).otherwise(F.col("community")).alias("community"),
-        move.alias("changed"),
-    ]
+    summary, cached = best_moves(level, parts, stats, broadcast_stats)
+    base = ["id", "deg_cnt", *CONSTANTS]
+    kept = ["own_value", "best_gain", "best_c"] if front is not None else []
+    v = vertices.select(*base, F.col("community").alias("c"), *[F.col(x).alias(f"kept_{x}") for x in kept])
+    v = lookup(v, _stats_by_c(stats), "c", broadcast_all=broadcast_stats)
+    v = v.join(level.per_vertex(summary, laid_out=True), "id", "left")
+    stay = F.expr(stay_gain_sql("cn", "ca", "ct", "coalesce(inc_own, 0L)", "out_w", "int_n", "int_w", N))
+    v = v.withColumn("stay", stay)
+    own_value = F.when(F.col("inc_own").isNotNull(), F.greatest("stay", F.lit(0.0))).otherwise(F.col("stay"))
+    value = {"own_value": own_value, "best_gain": F.col("best_gain"), "best_c": F.col("best_c")}
+    if front is not None:
+        known = front.select("id", F.lit(True).alias("anew"))
+        v = v.join(level.per_vertex(level.lay_out(known, "id"), laid_out=True), "id", "left")
+        value = {k: F.when(F.col("anew"), x).otherwise(F.col(f"kept_{k}")) for k, x in value.items()}
+    v = v.select(*base, F.col("c").alias("community"), F.col("cn").alias("n"), F.col("ca").alias("a"),
+                 F.col("ct").alias("t"), "stay", *[x.alias(k) for k, x in value.items()])
+    rule = settle(down)
+    cols = [*base, F.when(rule["move"], rule["target"]).otherwise(F.col("community")).alias("community"),
+            rule["move"].alias("changed"), F.col("community").alias("prev"), "n", "a", "t", "own_value", "best_gain",
+            "best_c"]
     if detail:
-        cols += [F.col("community").alias("old_community"), "stay", "own_value", "best_gain", "best_c",
-                 target.alias("best_community")]
-    return v.select(*cols)
+        cols += ["stay", rule["target"].alias("best_community")]
+    return v.select(*cols), cached
+
+
+def score_bounds(total_vertices: int) -> dict[str, Column]:
+    """Aggregates over community statistics: the largest magnitude of a term of either score."""
+    return {"score": F.max(F.abs(ceil_score(F.col("n"), F.col("a"), F.col("t"), total_vertices))),
+            "reported": F.max(F.abs(reported_score(F.col("n"), F.col("a"), F.col("t"), total_vertices))),
+            "communities": F.count(F.lit(1))}
 
 
-def score_totals(level: Level, stats: DataFrame) -> DataFrame:
-    """One row: score (denominator t), reported_score (a + t, clamped at 0), communities."""
+def score_totals(level: Level, stats: DataFrame, bounds: dict | None = None) -> tuple[float, float]:
+    """Score (denominator t) and reported score (a + t, clamped at 0) of a level, as exact sums.
+
+    Each term is cut into three integer limbs of 30 bits below the largest term's power of two, and
+    the limbs are summed as BIGINT: the totals don't depend on the order of the rows, so equal
+    statistics give equal bits on any number of partitions. What lies more than 90 bits below the
+    largest term is left out.
+    """
     N = level.total_vertices
-    return stats.agg(
-        F.coalesce(F.sum(ceil_score(F.col("n"), F.col("a"), F.col("t"), N)), F.lit(0.0)).alias("score"),
-        F.greatest(F.coalesce(F.sum(reported_score(F.col("n"), F.col("a"), F.col("t"), N)), F.lit(0.0)),
-                   F.lit(0.0)).alias("reported_score"),
-        F.count(F.lit(1)).alias("communities"))
+    if bounds is None:
+        bounds = stats.agg(*[c.alias(k) for k, c in score_bounds(N).items()]).first().asDict()
+    terms = {"score": ceil_score(F.col("n"), F.col("a"), F.col("t"), N),
+             "reported": reported_score(F.col("n"), F.col("a"), F.col("t"), N)}
+    powers = {k: exponent(bounds[k] or 0.0) for k in terms}
+    row = stats.agg(*[limb.alias(f"{k}{i}") for k, term in terms.items()
+                      for i, limb in enumerate(limb_sums(term, powers[k]))]).first()
+    totals = [limbs_total([row[f"{k}{i}"] for i in range(3)], powers[k]) for k in terms]
+    return totals[0], max(totals[1], 0.0)

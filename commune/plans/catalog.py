@@ -7,6 +7,8 @@ library operator over the whole graph. Column names match the plain-SQL statemen
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,13 +19,14 @@ from commune.functions.score import ceil_score, reported_score
 from commune.functions.text import state_text
 from commune.operators import moves
 from commune.operators.compress import compress_edges, compress_vertices
-from commune.operators.graph import (Level, build_level, initial_stats, merge_edges, symmetrize, triplets,
-                                     vertices_from_edges, weighted_degree)
-from commune.plans.detect import detect, level_state, local_moving, prepare_edges
+from commune.operators.graph import (Level, build_level, initial_stats, materialize, merge_edges,
+                                     singleton_assignment, symmetrize, triplets, vertices_from_edges,
+                                     weighted_degree)
+from commune.plans.detect import detect, half_pass, level_state, local_moving, observe, prepare_edges
 from commune.operators.skew import lookup
 from commune.session import ensure_checkpoint_dir, shuffle_partitions
 from commune.sources import tables
-from commune.sources.edges import edges_to_lines, parse_edge_lines
+from commune.sources.edges import edges_to_lines, parse_edge_lines, read_edges
 from commune.sources.sinks import community_rows
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -48,8 +51,7 @@ def _brand_setup(spark: SparkSession, sf_dir: str):
     lv = _level(spark, tables.copart_adj(spark, sf_dir))
     labels = tables.brand_labels(spark, sf_dir).join(lv.vert.select("id"), "id")
     assign = labels.select("id", "community", F.lit(False).alias("changed"))
-    flagged = moves.flag_own(moves.incident(lv, assign), assign)
-    stats = moves.community_stats(lv, assign, flagged)
+    flagged, stats = observe(lv, assign)
     return lv, assign, flagged, stats
 
 
@@ -94,6 +96,13 @@ def q_edge_scan_rejects(spark, sf_dir):
     return parse_edge_lines(_reject_lines(spark, sf_dir), ",", mode="quarantine").rejects
 
 
+def q_edge_scan_files(spark, sf_dir):
+    """Edge-list files written and scanned again, the edges dealt over a given number of partitions."""
+    path = f"{ensure_checkpoint_dir(spark)}/edge-lists-{uuid.uuid4().hex}"
+    edges_to_lines(tables.part_supp(spark, sf_dir), "\t").write.text(path)
+    return read_edges(spark, path, "\t", parallelism=6).edges
+
+
 def q_edge_scan_ip(spark, sf_dir):
     lines = edges_to_lines(tables.part_supp(spark, sf_dir), ",", ip_ids=True)
     return parse_edge_lines(lines, ",", ip_ids=True).edges
@@ -193,17 +202,19 @@ def q_join_gain(spark, sf_dir):
 
 
 def _brand_decision(spark, sf_dir):
-    lv, assign, flagged, stats = _brand_setup(spark, sf_dir)
-    return moves.decide(lv, assign, flagged, stats, down=True, broadcast_stats=False, detail=True)
+    lv, assign, _, stats = _brand_setup(spark, sf_dir)
+    vertices = moves.vertex_table(lv, assign)
+    parts = moves.flagged_parts(lv, vertices, moves.incident_parts(lv, assign))
+    return moves.decide(lv, vertices, parts, stats, down=True, broadcast_stats=False, detail=True)[0]
 
 
 def q_stay_gain(spark, sf_dir):
-    return _brand_decision(spark, sf_dir).select("id", F.col("old_community").alias("community"),
+    return _brand_decision(spark, sf_dir).select("id", F.col("prev").alias("community"),
                                                  F.col("stay").alias("gain"))
 
 
 def q_best_move(spark, sf_dir):
-    return _brand_decision(spark, sf_dir).select("id", F.col("old_community").alias("community"), "best_community")
+    return _brand_decision(spark, sf_dir).select("id", F.col("prev").alias("community"), "best_community")
 
 
 def q_compress_vertices(spark, sf_dir):
@@ -219,10 +230,8 @@ def q_compress_edges(spark, sf_dir):
 # --- iterative results on part_supp -----------------------------------------------------
 
 def _half_passes(spark, sf_dir, k):
-    from commune.plans.detect import half_pass
-    from commune.operators.graph import materialize, singleton_assignment
     lv = _level(spark, tables.part_supp(spark, sf_dir))
-    assign = materialize(singleton_assignment(lv))
+    assign = singleton_assignment(lv)
     stats = moves.with_hot(lv, initial_stats(lv))
     for i in range(k):
         new, cached = half_pass(spark, lv, assign, stats if i == 0 else None, down=(i % 2 == 0),
@@ -259,24 +268,19 @@ def q_local_moving(spark, sf_dir):
 
 
 def q_level_scores(spark, sf_dir):
-    lv, out = _level0(spark, sf_dir)
-    N = lv.total_vertices
-    return out.stats.agg(
-        round9(F.sum(ceil_score(F.col("n"), F.col("a"), F.col("t"), N))).alias("score"),
-        round9(F.greatest(F.sum(reported_score(F.col("n"), F.col("a"), F.col("t"), N)), F.lit(0.0))).alias(
-            "reported_score"),
-        F.count(F.lit(1)).alias("communities"),
-    ).select(F.lit(0).alias("level"), "score", "reported_score", F.lit(out.passes).alias("passes"), "communities")
+    r = detect(spark, tables.part_supp(spark, sf_dir), min_progress=2000, progress_counter=1, max_levels=1)
+    return r.levels.select("level", round9(F.col("score")).alias("score"),
+                           round9(F.col("reported_score")).alias("reported_score"), "passes", "communities")
 
 
 def q_level_state(spark, sf_dir):
     lv, out = _level0(spark, sf_dir)
-    return level_state(lv, out)
+    return level_state(out)
 
 
 def q_level_state_text(spark, sf_dir):
     lv, out = _level0(spark, sf_dir)
-    st = level_state(lv, out)
+    st = level_state(out)
     return st.select("id", state_text(F.col("id"), F.col("community"), F.col("t"), F.col("int_w"), F.col("out_w"),
                                       F.col("int_n"), F.col("n"), F.col("a")).alias("line"))
 
@@ -290,6 +294,19 @@ def q_multilevel(spark, sf_dir):
     return r.state.select("level", "id", "community")
 
 
+def q_level_hooks(spark, sf_dir):
+    """What the hooks of a run are given: each level's state and membership, and the final state."""
+    seen = []
+
+    def hook(name, vertex):
+        return lambda level, *rest: seen.append(rest[-1].select(
+            F.lit(name).alias("hook"), F.lit(level).alias("level"), F.col(vertex).alias("id"), "community"))
+
+    detect(spark, tables.part_supp(spark, sf_dir), min_progress=2000, progress_counter=2, on_level=hook("level", "id"),
+           on_membership=hook("membership", "vertex"), on_final=hook("final", "id"))
+    return reduce(DataFrame.unionByName, seen)
+
+
 def q_membership(spark, sf_dir):
     return _multilevel(spark, sf_dir).membership
 
@@ -303,6 +320,7 @@ CATALOG: dict[str, Builder] = {
     "edge_scan_default_weight": q_edge_scan_default_weight,
     "edge_scan_rejects": q_edge_scan_rejects,
     "edge_scan_ip": q_edge_scan_ip,
+    "edge_scan_files": q_edge_scan_files,
     "ip_to_long": q_ip_to_long,
     "long_to_ip": q_long_to_ip,
     "vertices_from_edges": q_vertices_from_edges,
@@ -330,6 +348,7 @@ CATALOG: dict[str, Builder] = {
     "level_state": q_level_state,
     "level_state_text": q_level_state_text,
     "multilevel": q_multilevel,
+    "level_hooks": q_level_hooks,
     "membership": q_membership,
     "community_members": q_community_members,
 }

@@ -1,9 +1,12 @@
 """Driver loops: local moving within a level, compression, and the multi-level run.
 
-The loops only decide when to stop; every step is a DataFrame job. Per half-pass the
-driver receives one row (movers, community count); the new assignment is checkpointed
-to the shared checkpoint folder, which cuts the plan and survives executor loss. An
-assignment's checkpoint is deleted once the next one stands, a level's once it is compressed.
+The loops only decide when to stop; every step is a DataFrame job. A half-pass is one job: the
+new state is checkpointed to the shared checkpoint folder, which cuts the plan and survives
+executor loss, and the movers are counted by the same job (observed metrics). A state's checkpoint
+is deleted once the next one stands, a level's once it is compressed.
+
+When few vertices moved, the next half-pass makes messages for the frontier only (see
+``commune.operators.moves``); both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from __future__ import annotations
 import logging
 import time
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Callable
 
 from pyspark import StorageLevel
@@ -20,9 +24,9 @@ from pyspark.sql import functions as F
 from commune.operators import moves
 from commune.operators.compress import compress_edges, compress_vertices
 from commune.operators.graph import (DEFAULT_HOT_FLOOR, Level, build_level, initial_stats, materialize,
-                                     merge_edges, singleton_assignment)
+                                     materialize_observed, singleton_assignment)
 from commune.operators.skew import hot_threshold, lookup
-from commune.session import discard, ensure_checkpoint_dir, shuffle_partitions
+from commune.session import broadcast_ok, discard, ensure_checkpoint_dir, shuffle_partitions
 
 log = logging.getLogger("commune.detect")
 
@@ -30,18 +34,20 @@ log = logging.getLogger("commune.detect")
 # stops is reported) and the score threshold of the multi-level test.
 MAX_HALF_PASSES = 100_000
 IMPROVEMENT_EPS = 1e-7
-STATE_ROW_BYTES = 64
+# A frontier half-pass is tried after at most this share of vertices moved, and made if the frontier
+# has at most this share of the rows. Results don't depend on either.
+FRONTIER_MOVERS, FRONTIER_ROWS = 1 / 20, 1 / 4
 
 
 @dataclass
 class LevelOutcome:
     level: int
-    assign: DataFrame          # (id, community, changed), checkpointed
-    flagged: DataFrame         # incident rows of the final assignment; deleted when ``detect`` ends
+    assign: DataFrame          # state of the last half-pass (see ``moves.decide``), checkpointed
     stats: DataFrame           # (community, n, a, t, vol_rows, members, hot), checkpointed
     passes: int
     half_passes: int
     movers: list[int]
+    message_rows: list[int]    # rows of ``sym`` that each half-pass made messages of
     score: float
     reported_score: float
     communities: int
@@ -63,33 +69,32 @@ class Result:
         self.tables, self.outcomes = [], []
 
 
-def _broadcast_ok(spark: SparkSession, communities_bound: int) -> bool:
-    """True when the statistics table is provably small enough to broadcast; results don't depend on it."""
-    limit = int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
-    return limit > 0 and communities_bound * STATE_ROW_BYTES <= limit
-
-
 def observe(level: Level, assign: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Incident table (flagged) and community statistics of an assignment."""
-    flagged = moves.flag_own(moves.incident(level, assign), assign)
+    vertices = moves.vertex_table(level, assign)
+    parts = moves.flagged_parts(level, vertices, moves.incident_parts(level, assign))
+    flagged = reduce(DataFrame.unionByName, parts)
     return flagged, moves.community_stats(level, assign, flagged)
 
 
 def half_pass(spark: SparkSession, level: Level, assign: DataFrame, stats: DataFrame | None, down: bool,
-              communities_bound: int) -> tuple[DataFrame, list[DataFrame]]:
-    """New assignment after one half-pass (lazy) and the cached tables to release after it.
+              communities_bound: int, front: DataFrame | None = None,
+              touched: DataFrame | None = None) -> tuple[DataFrame, list[DataFrame]]:
+    """New state after one half-pass (lazy) and the cached tables to release after it.
 
-    The incident table feeds three consumers (statistics, own weight, candidates) that
-    need different columns, so it is cached for the half-pass rather than recomputed;
-    its lineage is short (cached ``sym`` and assignment), so a lost block is cheap.
-    ``stats`` overrides the computed statistics.
+    ``stats`` overrides the computed statistics. With ``front`` and ``touched`` the half-pass
+    makes messages for the frontier only; ``assign`` is then the state of the half-pass before.
     """
-    flagged = moves.flag_own(moves.incident(level, assign), assign).persist(StorageLevel.MEMORY_AND_DISK)
-    # The statistics (at most one row per vertex) feed the hot-key list and two lookups:
-    # cached too, so the aggregate runs once.
-    use = (moves.community_stats(level, assign, flagged) if stats is None else stats).persist(
-        StorageLevel.MEMORY_AND_DISK)
-    return moves.decide(level, assign, flagged, use, down, _broadcast_ok(spark, communities_bound)), [flagged, use]
+    vertices = moves.vertex_table(level, assign)
+    inc = moves.incident_parts(level, assign) if front is None else moves.frontier_parts(level, assign, front)
+    keep = StorageLevel.MEMORY_AND_DISK
+    parts = [p.persist(keep) for p in moves.flagged_parts(level, vertices, inc)]
+    if stats is None:
+        stats = moves.community_stats(level, assign, reduce(DataFrame.unionByName, parts), touched)
+    stats = stats.persist(keep)
+    new, cached = moves.decide(level, vertices, parts, stats, down, broadcast_ok(spark, communities_bound),
+                               front=front)
+    return new, [*cached, *parts, stats]
 
 
 def stalled(previous: int, current: int, min_progress: int) -> bool:
@@ -102,22 +107,34 @@ def local_moving(spark: SparkSession, level: Level, level_no: int, min_progress:
                  max_half_passes: int = MAX_HALF_PASSES) -> LevelOutcome:
     """Whole passes (one half-pass down, one up) until too many stall or nothing moves."""
     t0 = time.time()
-    assign = materialize(singleton_assignment(level))
+    assign = singleton_assignment(level)
     bound = level.vertices
     movers: list[int] = []
+    message_rows: list[int] = []
     stalls, previous, guarded = 0, 0, False
+    try_frontier_at = level.vertices * FRONTIER_MOVERS
     while True:
         for down in (True, False):
+            front = touched = None
+            rows = level.sym_rows
+            # The first half-pass may have used other statistics than those of its assignment.
+            few = len(movers) > 1 and movers[-1] <= try_frontier_at and level.partitions > 1
+            if few and broadcast_ok(spark, 2 * movers[-1]):
+                touched = moves.touched_communities(assign)
+                front, seen = materialize_observed(moves.frontier(level, assign, touched), rows=F.sum("deg_cnt"))
+                rows = int(seen["rows"] or 0)
+                if rows > level.sym_rows * FRONTIER_ROWS:
+                    discard(front)
+                    front, touched, rows, try_frontier_at = None, None, level.sym_rows, movers[-1] / 2
             use = first_stats if not movers else None
-            new_assign, cached = half_pass(spark, level, assign, use, down, bound)
-            new_assign = materialize(new_assign)
-            # The communities of this assignment bound those of the next: none appears in a level.
-            seen = new_assign.agg(F.count_if("changed"), F.count_distinct("community")).first()
-            bound = int(seen[1])
-            movers.append(int(seen[0]))
-            for df in cached:
-                df.unpersist()
-            discard(assign)
+            new_assign, cached = half_pass(spark, level, assign, use, down, bound, front, touched)
+            new_assign, seen = materialize_observed(new_assign, moved=F.count(F.when(F.col("changed"), 1)))
+            movers.append(int(seen["moved"]))
+            message_rows.append(rows)
+            if not broadcast_ok(spark, bound):
+                # The communities of this assignment bound those of the next: none appears in a level.
+                bound = new_assign.select("community").distinct().count()
+            discard(assign, front, *cached)
             assign = new_assign
         moved = movers[-2] + movers[-1]
         stalls += stalled(previous, moved, min_progress)
@@ -128,38 +145,38 @@ def local_moving(spark: SparkSession, level: Level, level_no: int, min_progress:
     guarded = guarded and moved > 0 and stalls <= progress_counter
     if guarded:
         log.warning("level %d was stopped after %d half-passes with %d movers left", level_no, len(movers), moved)
-    flagged = materialize(moves.flag_own(moves.incident(level, assign), assign))
-    stats = materialize(moves.community_stats(level, assign, flagged))
-    totals = moves.score_totals(level, stats).first()
-    return LevelOutcome(level=level_no, assign=assign, flagged=flagged, stats=stats, passes=len(movers) // 2,
-                        half_passes=len(movers), movers=movers, score=float(totals["score"]),
-                        reported_score=float(totals["reported_score"]), communities=int(totals["communities"]),
+    stats, bounds = materialize_observed(observe(level, assign)[1], **moves.score_bounds(level.total_vertices))
+    score, reported = moves.score_totals(level, stats, bounds)
+    return LevelOutcome(level=level_no, assign=assign, stats=stats, passes=len(movers) // 2,
+                        half_passes=len(movers), movers=movers, message_rows=message_rows, score=score,
+                        reported_score=reported, communities=int(bounds["communities"]),
                         seconds=time.time() - t0, guarded=guarded)
 
 
 def compress(level: Level, outcome: LevelOutcome, hot_floor: int = DEFAULT_HOT_FLOOR) -> Level:
     """The next level: one vertex per community, edges between communities."""
-    edges = compress_edges(level, outcome.assign, outcome.flagged)
+    edges = compress_edges(level, outcome.assign, observe(level, outcome.assign)[0])
     verts = compress_vertices(outcome.stats)
-    return build_level(edges, level.partitions, total_vertices=level.total_vertices, vertex_attrs=verts,
+    return build_level(edges, level.most_partitions, total_vertices=level.total_vertices, vertex_attrs=verts,
                        hot_floor=hot_floor)
 
 
 def prepare_edges(edges: DataFrame, self_loops: str = "keep") -> DataFrame:
-    """Merged level-0 edges; ``self_loops="drop"`` removes loops first."""
+    """Level-0 edges as BIGINT (the level sums parallel ones); ``self_loops="drop"`` removes loops."""
     if self_loops not in ("keep", "drop"):
         raise ValueError(f"unknown self_loops {self_loops!r}")
     e = edges.select(F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst"),
                      F.col("weight").cast("bigint").alias("weight"))
     if self_loops == "drop":
         e = e.where(F.col("src") != F.col("dst"))
-    return merge_edges(e)
+    return e
 
 
-def level_state(level: Level, outcome: LevelOutcome) -> DataFrame:
+def level_state(outcome: LevelOutcome) -> DataFrame:
     """Vertex state of a finished level (level, id, community, out_w, int_n, int_w, n, t, a, changed)."""
     st = outcome.stats.select("community", "n", "a", "t", "hot")
-    return (lookup(outcome.assign.join(level.vert, "id"), st, "community")
+    rows = outcome.assign.select("id", "community", *moves.CONSTANTS, "changed")
+    return (lookup(rows, st, "community")
             .select(F.lit(outcome.level).alias("level"), "id", "community", "out_w", "int_n", "int_w",
                     "n", "t", "a", "changed"))
 
@@ -181,23 +198,29 @@ def detect(spark: SparkSession, edges: DataFrame, min_progress: int = 2000, prog
            on_level: Callable[[int, float, DataFrame], None] | None = None,
            on_final: Callable[[int, float, DataFrame], None] | None = None,
            on_membership: Callable[[int, DataFrame], None] | None = None,
-           max_levels: int | None = None, max_half_passes: int = MAX_HALF_PASSES) -> Result:
+           max_levels: int | None = None, max_half_passes: int = MAX_HALF_PASSES,
+           compress_by: str = "reported") -> Result:
     """Multi-level community detection. ``edges`` has columns src, dst, weight.
 
-    ``partitions`` (default ``spark.sql.shuffle.partitions``) is the layout of a level's edges: at
-    scale choose it so that twice the edges over it fit a task. ``hot_floor`` only decides from
-    how many rows a key is spread over several tasks. ``max_half_passes`` stops a level that
+    ``partitions`` (default ``spark.sql.shuffle.partitions``) is the most that a level's edges are
+    laid out over (a level takes fewer, by its rows): at scale choose it so that twice the edges over
+    it fit a task. ``hot_floor`` decides from how many rows a key is spread over several tasks, and
+    with it how many rows make a partition. ``max_half_passes`` stops a level that
     never settles and marks it (``LevelOutcome.guarded``). ``on_level`` gets each finished level's
     state, ``on_membership`` its (level, vertex, community) rows, ``on_final`` the last state.
+    ``compress_by`` names the score that has to rise for another level: "reported" (denominator
+    a + t) or "score" (denominator t).
+
+    Communities of a vertex are kept as one array per vertex, a community per level.
     """
+    if compress_by not in ("reported", "score"):
+        raise ValueError(f"unknown score {compress_by!r}")
     ensure_checkpoint_dir(spark)
     P = partitions or shuffle_partitions(spark)
     level = build_level(prepare_edges(edges, self_loops), P, hot_floor=hot_floor)
     outcomes: list[LevelOutcome] = []
     states: list[DataFrame] = []
-    membership: DataFrame | None = None
-    memberships: list[DataFrame] = []
-    tables: list[DataFrame] = []
+    paths: DataFrame | None = None  # (vertex, path): the vertex's community on each level so far
     best = 0.0
     level_no = -1
     if level.vertices == 0:
@@ -215,50 +238,46 @@ def detect(spark: SparkSession, edges: DataFrame, min_progress: int = 2000, prog
         first_stats = moves.with_hot(level, initial_stats(level)) if level_no == 0 else None
         out = local_moving(spark, level, level_no, min_progress, progress_counter, first_stats, max_half_passes)
         outcomes.append(out)
-        state = materialize(level_state(level, out))
+        state = level_state(out)
         states.append(state)
-        lab = out.assign.select("id", "community")
-        if membership is None:
-            membership = lab.select(F.col("id").alias("vertex"), "community")
+        if paths is None:
+            paths = out.assign.select(F.col("id").alias("vertex"), F.array("community").alias("path"))
         else:
             # Hypernodes holding more than twice a partition's share of the original vertices
             # are joined by broadcast (at most ``P / 2`` of them), the rest by shuffle.
             heavy = hot_threshold(level.total_vertices, P, hot_floor)
-            dim = lab.join(level.vert.select("id", "int_n"), "id").select(
-                F.col("id").alias("community"), F.col("community").alias("c2"),
-                (F.col("int_n") > F.lit(heavy)).alias("hot"))
-            membership = lookup(membership, dim, "community").select("vertex", F.col("c2").alias("community"))
-        membership = materialize(membership)
-        tables += [state, membership]
-        memberships.append(membership.select(F.lit(level_no).alias("level"), "vertex", "community"))
+            dim = out.assign.select(F.col("id").alias("last"), F.col("community").alias("next"),
+                                    (F.col("int_n") > F.lit(heavy)).alias("hot"))
+            longer = lookup(paths.withColumn("last", F.element_at("path", -1)), dim, "last")
+            longer = materialize(longer.select("vertex", F.concat("path", F.array("next")).alias("path")))
+            if level_no > 1:
+                discard(paths)
+            paths = longer
         if on_level is not None:
             on_level(level_no, out.reported_score, state)
         if on_membership is not None:
-            on_membership(level_no, memberships[-1])
-        improved = out.passes > 2 and out.reported_score > best + IMPROVEMENT_EPS
+            on_membership(level_no, paths.select(F.lit(level_no).alias("level"), "vertex",
+                                                 F.element_at("path", -1).alias("community")))
+        reached = out.reported_score if compress_by == "reported" else out.score
+        improved = out.passes > 2 and reached > best + IMPROVEMENT_EPS
         if max_levels is not None and level_no + 1 >= max_levels:
             improved = False
         if not improved:
             break
-        best = out.reported_score
+        best = reached
         nxt = compress(level, out, hot_floor)
         # All that later levels need of this one is checkpointed: its hypernodes and edges, the
-        # membership and its state.
+        # paths, its state and statistics.
         level.release()
         level = nxt
     if on_final is not None:
         on_final(level_no, best, states[-1])
-    for o in outcomes:
-        discard(o.flagged)
     level.release()
     best_idx = max(range(len(outcomes)), key=lambda i: (outcomes[i].reported_score, -i))
     rows = [(o.level, o.score, o.reported_score, o.passes, o.communities, i == best_idx)
             for i, o in enumerate(outcomes)]
     levels = spark.createDataFrame(rows, LEVELS_SCHEMA)
-    member_df = memberships[0]
-    for m in memberships[1:]:
-        member_df = member_df.unionByName(m)
-    state_df = states[0]
-    for s in states[1:]:
-        state_df = state_df.unionByName(s)
-    return Result(membership=member_df, state=state_df, levels=levels, outcomes=outcomes, tables=tables)
+    members = paths.select(F.posexplode("path").alias("level", "community"), "vertex").select(
+        "level", "vertex", "community")
+    return Result(membership=members, state=reduce(DataFrame.unionByName, states), levels=levels, outcomes=outcomes,
+                  tables=[paths])

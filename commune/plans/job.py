@@ -4,7 +4,9 @@
         [-y PROGRESS_COUNTER] [-z] [-p PARALLELISM] [--partitions N] [--checkpoint-dir DIR]
         [--format parquet|text] [--member-lists] [--members-per-part N] [--max-half-passes N]
 
-Master, application name, jars and Spark properties are ``spark-submit``'s own options. Every
+Master, application name, jars and Spark properties are ``spark-submit``'s own options. The file may
+be run by its path from any folder; installed, the job is ``commune-detect`` or
+``python -m commune.plans.job``. Only the driver imports the package: executors run no Python here. Every
 level's state, membership and member lists are written as soon as the level is finished.
 """
 
@@ -12,10 +14,15 @@ from __future__ import annotations
 
 import argparse
 import logging
+import os
+import sys
 import time
 
 from pyspark.sql import SparkSession
 
+if not __package__:  # run by its path: the folder of the package isn't on the module path then
+    sys.path[0] = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
 from commune.plans.detect import MAX_HALF_PASSES, Result, detect
 from commune.session import ensure_checkpoint_dir
 from commune.sources.edges import read_edges

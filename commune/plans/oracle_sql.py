@@ -271,6 +271,7 @@ def statements() -> dict[str, str]:
     q["edge_scan"] = (f"SELECT CAST(toks[1] AS BIGINT) AS src, CAST(toks[2] AS BIGINT) AS dst, "
                       f"CASE WHEN len(toks) = 3 THEN CAST(toks[3] AS BIGINT) ELSE 1 END AS weight "
                       f"FROM ({_scan_classify(scan_lines, ',', False)}) WHERE reason IS NULL")
+    q["edge_scan_files"] = PART_SUPP
     q["edge_scan_default_weight"] = f"SELECT src, dst, CAST(1 AS BIGINT) AS weight FROM ({COPART_ADJ})"
     q["edge_scan_rejects"] = f"SELECT line, reason FROM ({_scan_classify(_rejects_lines(), ',', False)}) WHERE reason IS NOT NULL"
     q["edge_scan_ip"] = f"SELECT src, dst, weight FROM ({PART_SUPP})"
@@ -360,6 +361,11 @@ def statements() -> dict[str, str]:
     ctes.append(("mem", "SELECT 0 AS level, vertex, community FROM m0 UNION ALL SELECT 1, vertex, community FROM m1"))
     # Two unrolled levels chained through the compression step.
     q["multilevel"] = _with(ctes, f"SELECT 0 AS level, id, community FROM {a_l0} UNION ALL SELECT 1, id, community FROM {a_l1}")
+    q["level_hooks"] = _with(ctes, (
+        f"SELECT 'level' AS hook, 0 AS level, id, community FROM {a_l0} UNION ALL "
+        f"SELECT 'level', 1, id, community FROM {a_l1} UNION ALL "
+        f"SELECT 'membership', level, vertex, community FROM mem UNION ALL "
+        f"SELECT 'final', 1, id, community FROM {a_l1}"))
     q["membership"] = _with(ctes, "SELECT level, vertex, community FROM mem")
     q["community_members"] = _with(ctes, (
         "SELECT level, community, CAST(count(*) AS BIGINT) AS size, "

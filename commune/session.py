@@ -65,5 +65,11 @@ def discard(*frames: DataFrame | None) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def broadcast_ok(spark: SparkSession, rows_bound: int, row_bytes: int = 64) -> bool:
+    """True when a table of at most so many rows is provably small enough; results don't depend on it."""
+    limit = int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
+    return 0 < limit >= rows_bound * row_bytes
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

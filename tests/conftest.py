@@ -17,6 +17,9 @@ def spark():
          .config("spark.sql.shuffle.partitions", "8")
          .config("spark.ui.enabled", "false")
          .config("spark.sql.session.timeZone", "UTC")
+         .config("spark.driver.memory", "4g")
+         .config("spark.sql.ui.retainedExecutions", "50")
+         .config("spark.ui.showConsoleProgress", "false")
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     from commune.session import ensure_checkpoint_dir

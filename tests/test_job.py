@@ -1,4 +1,6 @@
 import os
+import subprocess
+import sys
 
 import pytest
 
@@ -64,3 +66,19 @@ def test_community_rows_do_not_depend_on_the_parts(spark, max_per_part):
                               "level int, vertex bigint, community bigint")
     rows = sorted(map(tuple, community_rows(m, max_per_part).collect()))
     assert rows == sorted((l, c, len(v), ",".join(map(str, sorted(v)))) for (l, c), v in groups.items())
+
+
+@pytest.mark.parametrize("start", [["PATH/commune/plans/job.py"], ["-m", "commune.plans.job"]])
+def test_command_line_runs_from_another_folder(spark, tmp_path, start):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    (tmp_path / "edges.txt").write_text("1 2\n2 3\n1 3\n4 5\n5 6\n4 6\n3 4\n")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    if start[0] == "-m":
+        env["PYTHONPATH"] = root
+    env["PYSPARK_SUBMIT_ARGS"] = ("--master local[2] --conf spark.ui.enabled=false --conf spark.driver.memory=1g "
+                                  "pyspark-shell")
+    done = subprocess.run([sys.executable, *[x.replace("PATH", root) for x in start], "edges.txt", "out", "-d", " "],
+                          cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert spark.read.parquet(str(tmp_path / "out" / "levels")).first().communities == 2
+    assert spark.read.parquet(str(tmp_path / "out" / "membership")).count() == 6
