@@ -2,10 +2,10 @@
 
 * ``sym(id, nbr, w)``: every edge seen from both ends, reciprocal pairs summed, a self-loop
   counted twice. If the level has hubs it also carries ``hub`` (the receiving vertex is one) and a
-  ``salt`` that splits hub neighbours over several partitions. The summed pairs are checkpointed
+  ``salt`` that splits hub neighbours over several partitions. The summed pairs are written
   once per level; the table itself is laid out by hash of ``nbr`` (or ``(nbr, salt)``) and cached.
-  A cached layout is kept by later joins, while a checkpoint's is not (under adaptive execution its
-  partitioning is unknown), so the message join of every half-pass streams ``sym`` without a shuffle.
+  A cached layout is kept by later joins, so the message join of every half-pass streams ``sym``
+  without a shuffle.
 * ``vert(id, out_w, int_n, int_w, deg_cnt)``: per-vertex constants.
 * ``hubs(id, salts)``: vertices with more sym rows than twice a partition's share
   (at most ``partitions / 2`` rows), used for salting and skew-safe joins; none if not ``salted``.
@@ -22,9 +22,10 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from commune.operators.skew import hot_threshold
-from commune.session import broadcast_ok, discard
+from commune.session import broadcast_ok, discard, new_table_path, remember_path
 
 # Smallest row count that can make a key hot: below it a graph stays unsalted. It only decides
 # how rows are spread, never what is computed.
@@ -32,8 +33,13 @@ DEFAULT_HOT_FLOOR = 50_000
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint (shared checkpoint folder)."""
-    return df.checkpoint(eager=True)
+    """Cut lineage: ``df`` written as a table in the shared checkpoint folder, and read again.
+
+    Not ``checkpoint()``: that hands its plan's size estimate on, a product of the sizes joined, and
+    the estimate of a loop's state would get several times as many digits in each round. A
+    table's size is that of its files. ``discard`` deletes it.
+    """
+    return _written(df, df.schema)
 
 
 def materialize_observed(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
@@ -42,8 +48,13 @@ def materialize_observed(df: DataFrame, **metrics: Column) -> tuple[DataFrame, d
     They are collected in the job's last stage, where a repeated task counts once.
     """
     seen = Observation()
-    out = materialize(df.observe(seen, *[m.alias(k) for k, m in metrics.items()]))
-    return out, seen.get
+    return _written(df.observe(seen, *[m.alias(k) for k, m in metrics.items()]), df.schema), seen.get
+
+
+def _written(df: DataFrame, schema: StructType) -> DataFrame:
+    path = new_table_path(df.sparkSession)
+    df.write.parquet(path)
+    return remember_path(df.sparkSession.read.schema(schema).parquet(path), path)
 
 
 def level_partitions(sym_rows: int, most: int, hot_floor: int = DEFAULT_HOT_FLOOR) -> int:

@@ -8,6 +8,7 @@ session has none.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,22 +48,30 @@ def ensure_checkpoint_dir(spark: SparkSession, folder: str | None = None) -> str
     return sc.getCheckpointDir() or configured
 
 
+def new_table_path(spark: SparkSession) -> str:
+    """A folder of its own below the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+
+
+def remember_path(df: DataFrame, path: str) -> DataFrame:
+    """Mark ``df`` as the reader of a table that ``discard`` may delete."""
+    df._commune_table = path
+    return df
+
+
 def discard(*frames: DataFrame | None) -> None:
-    """Release cached tables and delete the checkpoint files behind ``frames``.
+    """Release cached tables and delete the files of those that ``frames`` read.
 
-    Only for tables that nothing refers to any more: a plan over a deleted checkpoint fails.
+    Only for tables that nothing refers to any more: a plan over a deleted table fails.
     """
     for df in frames:
         if df is None:
             continue
         df.unpersist()
-        plan = df._jdf.queryExecution().analyzed()
-        if not plan.getClass().getSimpleName() == "LogicalRDD":
-            continue
-        file = plan.rdd().getCheckpointFile()
-        if file.isDefined():
-            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        path = vars(df).get("_commune_table")
+        if path:
+            target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def broadcast_ok(spark: SparkSession, rows_bound: int, row_bytes: int = 64) -> bool:
