@@ -17,15 +17,15 @@ and degrees counted with map-side partial aggregation. A level's partitions foll
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from commune.operators.skew import hot_threshold
-from commune.session import broadcast_ok, discard, new_table_path, remember_path
+from commune.session import broadcast_ok, discard, new_table_path, remember_path, shuffle_partitions, table_path
 
 # Smallest row count that can make a key hot: below it a graph stays unsalted. It only decides
 # how rows are spread, never what is computed.
@@ -57,6 +57,16 @@ def _written(df: DataFrame, schema: StructType) -> DataFrame:
     return remember_path(df.sparkSession.read.schema(schema).parquet(path), path)
 
 
+def table_record(df: DataFrame) -> dict:
+    """Where a table written by ``materialize`` stands and its schema, as JSON values."""
+    return {"path": table_path(df), "schema": df.schema.jsonValue()}
+
+
+def reopen_table(spark: SparkSession, record: dict) -> DataFrame:
+    schema = StructType.fromJson(record["schema"])
+    return remember_path(spark.read.schema(schema).parquet(record["path"]), record["path"])
+
+
 def level_partitions(sym_rows: int, most: int, hot_floor: int = DEFAULT_HOT_FLOOR) -> int:
     """Partitions of a level: one for each ``2 * hot_floor`` rows of ``sym`` (4 MB by default), up to ``most``."""
     return max(1, min(most, -(-sym_rows // max(2 * hot_floor, 1))))
@@ -86,11 +96,79 @@ def symmetrize(edges: DataFrame) -> DataFrame:
     return both.groupBy("id", "nbr").agg(F.sum("w").alias("w"))
 
 
-def triplets(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """Edges with the community of both ends: (src, dst, weight, src_community, dst_community)."""
-    s = labels.select(F.col("id").alias("src"), F.col("community").alias("src_community"))
-    d = labels.select(F.col("id").alias("dst"), F.col("community").alias("dst_community"))
-    return edges.join(s, "src").join(d, "dst").select("src", "dst", "weight", "src_community", "dst_community")
+def hub_ends(edges: DataFrame, partitions: int, hot_floor: int = DEFAULT_HOT_FLOOR) -> DataFrame | None:
+    """(id) of the vertices at so many edge ends that they would make a task hot; None if there are none.
+
+    They are at most ``partitions / 2`` (see ``hot_threshold``), a table with a proven bound.
+    """
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(
+        F.count(F.lit(1)).alias("rows"))
+    seen = ends.agg(F.sum("rows").alias("rows"), F.max("rows").alias("most")).first()
+    hot = hot_threshold(seen["rows"] or 0, partitions, hot_floor)
+    if (seen["most"] or 0) <= hot:
+        return None
+    return materialize(ends.where(F.col("rows") > hot).select("id").coalesce(1))
+
+
+def triplets(edges: DataFrame, labels: DataFrame, partitions: int | None = None,
+             hot_floor: int = DEFAULT_HOT_FLOOR) -> DataFrame:
+    """Edges with the community of both ends: (src, dst, weight, src_community, dst_community).
+
+    Every row of ``edges`` is kept, parallel ones too; one with an end that has no label is left out.
+
+    A hub may stand at either end, or at both. Labels of hubs are broadcast, so an edge between two
+    hubs meets both labels where it is read: were such a pair a third of all rows, it would not be
+    shuffled. An edge with one hub is dealt by its other end, whose rows are few, in the join
+    on the hub's side (that finds nothing) and by that end itself in the other join.
+    """
+    spark = edges.sparkSession
+    partitions = partitions or shuffle_partitions(spark)
+    label = labels.select("id", F.struct("community").alias("label"))
+    hubs = hub_ends(edges, partitions, hot_floor)
+    if hubs is None:
+        found = edges
+        for end in ("src", "dst"):
+            found = found.join(label.select(F.col("id").alias(end), F.col("label").alias(f"{end}_label")), end)
+        return _labelled(found)
+    hub = F.broadcast(hubs)
+    hub_labels = F.broadcast(hubs.join(F.broadcast(label.join(hub, "id")), "id", "left")
+                             .select("id", "label", F.lit(True).alias("hub")))
+    cold = label.join(hub, "id", "left_anti")
+    marked = edges
+    for end in ("src", "dst"):
+        marked = marked.join(hub_labels.select(F.col("id").alias(end), F.col("label").alias(f"{end}_label"),
+                                               F.col("hub").alias(f"{end}_hub")), end, "left")
+    two_hubs = F.col("src_hub").isNotNull() & F.col("dst_hub").isNotNull()
+    rest = marked.where(~two_hubs)
+    for end, other in (("src", "dst"), ("dst", "src")):
+        # Salts of hubs and of other vertices don't meet. Not a constant for the others: Spark would take it out of
+        # the join's key, and with it the hubs' salt.
+        salt = F.when(F.col(f"{end}_hub").isNull(), _salt(end, partitions)).otherwise(
+            _salt(other, partitions) + F.lit(partitions))
+        side = cold.select(F.col("id").alias(end), _salt("id", partitions).alias("salt"), F.col("label").alias("cold_label"))
+        rest = rest.withColumn("salt", salt).join(side, [end, "salt"], "left").withColumn(
+            f"{end}_label", F.coalesce(f"{end}_label", "cold_label")).drop("salt", "cold_label")
+    return _labelled(marked.where(two_hubs).unionByName(rest))
+
+
+def _salt(vertex: str, salts: int) -> Column:
+    return F.pmod(F.xxhash64(vertex), F.lit(salts)).cast("int")
+
+
+def _labelled(edges: DataFrame) -> DataFrame:
+    return edges.where(F.col("src_label").isNotNull() & F.col("dst_label").isNotNull()).select(
+        "src", "dst", "weight", F.col("src_label.community").alias("src_community"),
+        F.col("dst_label.community").alias("dst_community"))
+
+
+@dataclass(frozen=True)
+class LevelCounts:
+    """What is counted while a level is built; with its tables, all that it takes to open it again."""
+
+    sym_rows: int
+    vertices: int
+    total_vertices: int
+    largest: int  # most ``sym`` rows of one vertex
 
 
 @dataclass
@@ -108,6 +186,7 @@ class Level:
     hot_members: int
     salted: bool
     small: bool  # a row per vertex is provably small enough to broadcast
+    counts: LevelCounts
 
     def lay_out(self, df: DataFrame, *keys: str) -> DataFrame:
         """``df`` dealt over the level's partitions by hash of ``keys``; a single one takes no shuffle."""
@@ -129,6 +208,10 @@ class Level:
         """Join keys of the message join: ``nbr`` alone unless some vertex is a hub."""
         return ["nbr", "salt"] if self.salted else ["nbr"]
 
+    def record(self) -> dict:
+        """The level's tables and counts, for ``reopen_level``."""
+        return {"pairs": table_record(self.pairs), "vert": table_record(self.vert), "counts": asdict(self.counts)}
+
     def release(self) -> None:
         """Free the cached layout and delete the level's checkpoints."""
         discard(self.sym, self.pairs, self.hubs, self.vert)
@@ -147,7 +230,6 @@ def build_level(edges: DataFrame, partitions: int, total_vertices: int | None =
     """
     pairs, seen = materialize_observed(symmetrize(edges), rows=F.count(F.lit(1)))
     sym_rows = int(seen["rows"])
-    P = level_partitions(sym_rows, partitions, hot_floor)
     deg = pairs.groupBy("id").agg(F.count(F.lit(1)).alias("deg_cnt"), F.sum("w").alias("degree"))
     if vertex_attrs is None:
         vert = deg.select("id", F.col("degree").alias("out_w"), F.lit(1).cast("bigint").alias("int_n"),
@@ -157,12 +239,23 @@ def build_level(edges: DataFrame, partitions: int, total_vertices: int | None =
             "id", "out_w", "int_n", "int_w", F.coalesce("deg_cnt", F.lit(0).cast("bigint")).alias("deg_cnt"))
     vert, seen = materialize_observed(vert, vertices=F.count(F.lit(1)), largest=F.max("deg_cnt"))
     n_vertices = int(seen["vertices"])
-    if total_vertices is None:
-        total_vertices = n_vertices
+    return _open_level(pairs, vert, partitions, hot_floor, LevelCounts(
+        sym_rows, n_vertices, n_vertices if total_vertices is None else total_vertices, int(seen["largest"] or 0)))
+
+
+def reopen_level(spark: SparkSession, record: dict, partitions: int, hot_floor: int = DEFAULT_HOT_FLOOR) -> Level:
+    """The level that ``Level.record`` describes, from the tables it names; it may be laid out otherwise."""
+    return _open_level(reopen_table(spark, record["pairs"]), reopen_table(spark, record["vert"]), partitions, hot_floor,
+                       LevelCounts(**record["counts"]))
+
+
+def _open_level(pairs: DataFrame, vert: DataFrame, most: int, hot_floor: int, counts: LevelCounts) -> Level:
+    sym_rows, n_vertices = counts.sym_rows, counts.vertices
+    P = level_partitions(sym_rows, most, hot_floor)
     hot_rows = hot_threshold(sym_rows, P, hot_floor)
     hot_members = hot_threshold(n_vertices, P, hot_floor)
     share = max(sym_rows // P, 1)
-    salted = int(seen["largest"] or 0) > hot_rows
+    salted = counts.largest > hot_rows
     hubs = None
     if salted:
         # A hub's rows are spread over ``salts`` partitions by a hash of the other end.
@@ -181,9 +274,9 @@ def build_level(edges: DataFrame, partitions: int, total_vertices: int | None =
         sym = _lay_out(pairs, P, "nbr")
     sym = sym.persist(StorageLevel.MEMORY_AND_DISK)
     return Level(pairs=pairs, sym=sym, vert=vert, hubs=hubs, vertices=n_vertices, sym_rows=sym_rows,
-                 total_vertices=total_vertices, partitions=P, most_partitions=partitions, hot_rows=hot_rows,
+                 total_vertices=counts.total_vertices, partitions=P, most_partitions=most, hot_rows=hot_rows,
                  hot_members=hot_members, salted=salted,
-                 small=broadcast_ok(pairs.sparkSession, n_vertices))
+                 small=broadcast_ok(pairs.sparkSession, n_vertices), counts=counts)
 
 
 def singleton_assignment(level: Level) -> DataFrame:

@@ -59,6 +59,10 @@ def remember_path(df: DataFrame, path: str) -> DataFrame:
     return df
 
 
+def table_path(df: DataFrame) -> str:
+    return vars(df)["_commune_table"]
+
+
 def discard(*frames: DataFrame | None) -> None:
     """Release cached tables and delete the files of those that ``frames`` read.
 
