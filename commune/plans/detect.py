@@ -5,6 +5,8 @@ new state is checkpointed to the shared checkpoint folder, which cuts the plan a
 executor loss, and the movers are counted by the same job (observed metrics). A state's checkpoint
 is deleted once the next one stands, a level's once it is compressed.
 
+With a journal, a run commits after every whole pass and every level and goes on from its last commit.
+
 When few vertices moved, the next half-pass makes messages for the frontier only (see
 ``commune.operators.moves``); both ways give the same rows.
 """
@@ -13,7 +15,7 @@ from __future__ import annotations
 
 import logging
 import time
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 from functools import reduce
 from typing import Callable
 
@@ -24,8 +26,10 @@ from pyspark.sql import functions as F
 from commune.operators import moves
 from commune.operators.compress import compress_edges, compress_vertices
 from commune.operators.graph import (DEFAULT_HOT_FLOOR, Level, build_level, initial_stats, materialize,
-                                     materialize_observed, singleton_assignment)
+                                     materialize_observed, reopen_level, reopen_table, singleton_assignment,
+                                     table_record)
 from commune.operators.skew import hot_threshold, lookup
+from commune.plans.journal import Journal
 from commune.session import broadcast_ok, discard, ensure_checkpoint_dir, shuffle_partitions
 
 log = logging.getLogger("commune.detect")
@@ -54,6 +58,38 @@ class LevelOutcome:
     seconds: float
     guarded: bool = False      # stopped by ``max_half_passes``, not by lack of progress
 
+    def record(self) -> dict:
+        """The outcome as JSON values; ``reopen`` makes it of them again."""
+        plain = {f.name: getattr(self, f.name) for f in fields(self) if f.name not in ("assign", "stats")}
+        return {**plain, "assign": table_record(self.assign), "stats": table_record(self.stats)}
+
+    @classmethod
+    def reopen(cls, spark: SparkSession, record: dict) -> LevelOutcome:
+        tables = {k: reopen_table(spark, record[k]) for k in ("assign", "stats")}
+        return cls(**{**record, **tables})
+
+
+@dataclass
+class Progress:
+    """Where local moving stands between two whole passes."""
+
+    assign: DataFrame
+    bound: int
+    try_frontier_at: float
+    movers: list[int] = field(default_factory=list)
+    message_rows: list[int] = field(default_factory=list)
+    stalls: int = 0
+    previous: int = 0
+    done: bool = False
+
+    def record(self) -> dict:
+        plain = {f.name: getattr(self, f.name) for f in fields(self) if f.name != "assign"}
+        return {**plain, "assign": table_record(self.assign)}
+
+    @classmethod
+    def reopen(cls, spark: SparkSession, record: dict) -> Progress:
+        return cls(**{**record, "assign": reopen_table(spark, record["assign"])})
+
 
 @dataclass
 class Result:
@@ -104,51 +140,54 @@ def stalled(previous: int, current: int, min_progress: int) -> bool:
 
 def local_moving(spark: SparkSession, level: Level, level_no: int, min_progress: int = 1,
                  progress_counter: int = 1, first_stats: DataFrame | None = None,
-                 max_half_passes: int = MAX_HALF_PASSES) -> LevelOutcome:
-    """Whole passes (one half-pass down, one up) until too many stall or nothing moves."""
+                 max_half_passes: int = MAX_HALF_PASSES, progress: Progress | None = None,
+                 on_pass: Callable[[Progress], None] | None = None) -> LevelOutcome:
+    """Whole passes (one half-pass down, one up) until too many stall or nothing moves.
+
+    ``on_pass`` gets the progress after every whole pass, while the state of the pass before still
+    stands; given back as ``progress``, moving goes on from there.
+    """
     t0 = time.time()
-    assign = singleton_assignment(level)
-    bound = level.vertices
-    movers: list[int] = []
-    message_rows: list[int] = []
-    stalls, previous, guarded = 0, 0, False
-    try_frontier_at = level.vertices * FRONTIER_MOVERS
-    while True:
+    at = progress or Progress(singleton_assignment(level), level.vertices, level.vertices * FRONTIER_MOVERS)
+    movers = at.movers
+    while not at.done:
+        start = at.assign  # deleted only when the pass is over, see ``on_pass``
         for down in (True, False):
             front = touched = None
             rows = level.sym_rows
             # The first half-pass may have used other statistics than those of its assignment.
-            few = len(movers) > 1 and movers[-1] <= try_frontier_at and level.partitions > 1
+            few = len(movers) > 1 and movers[-1] <= at.try_frontier_at and level.partitions > 1
             if few and broadcast_ok(spark, 2 * movers[-1]):
-                touched = moves.touched_communities(assign)
-                front, seen = materialize_observed(moves.frontier(level, assign, touched), rows=F.sum("deg_cnt"))
+                touched = moves.touched_communities(at.assign)
+                front, seen = materialize_observed(moves.frontier(level, at.assign, touched), rows=F.sum("deg_cnt"))
                 rows = int(seen["rows"] or 0)
                 if rows > level.sym_rows * FRONTIER_ROWS:
                     discard(front)
-                    front, touched, rows, try_frontier_at = None, None, level.sym_rows, movers[-1] / 2
+                    front, touched, rows, at.try_frontier_at = None, None, level.sym_rows, movers[-1] / 2
             use = first_stats if not movers else None
-            new_assign, cached = half_pass(spark, level, assign, use, down, bound, front, touched)
+            new_assign, cached = half_pass(spark, level, at.assign, use, down, at.bound, front, touched)
             new_assign, seen = materialize_observed(new_assign, moved=F.count(F.when(F.col("changed"), 1)))
             movers.append(int(seen["moved"]))
-            message_rows.append(rows)
-            if not broadcast_ok(spark, bound):
+            at.message_rows.append(rows)
+            if not broadcast_ok(spark, at.bound):
                 # The communities of this assignment bound those of the next: none appears in a level.
-                bound = new_assign.select("community").distinct().count()
-            discard(assign, front, *cached)
-            assign = new_assign
+                at.bound = new_assign.select("community").distinct().count()
+            discard(None if down else at.assign, front, *cached)
+            at.assign = new_assign
         moved = movers[-2] + movers[-1]
-        stalls += stalled(previous, moved, min_progress)
-        previous = moved
-        guarded = len(movers) >= max_half_passes
-        if guarded or moved == 0 or stalls > progress_counter:
-            break
-    guarded = guarded and moved > 0 and stalls <= progress_counter
+        at.stalls += stalled(at.previous, moved, min_progress)
+        at.previous = moved
+        at.done = len(movers) >= max_half_passes or moved == 0 or at.stalls > progress_counter
+        if on_pass is not None:
+            on_pass(at)
+        discard(start)
+    guarded = len(movers) >= max_half_passes and at.previous > 0 and at.stalls <= progress_counter
     if guarded:
-        log.warning("level %d was stopped after %d half-passes with %d movers left", level_no, len(movers), moved)
-    stats, bounds = materialize_observed(observe(level, assign)[1], **moves.score_bounds(level.total_vertices))
+        log.warning("level %d was stopped after %d half-passes with %d movers left", level_no, len(movers), at.previous)
+    stats, bounds = materialize_observed(observe(level, at.assign)[1], **moves.score_bounds(level.total_vertices))
     score, reported = moves.score_totals(level, stats, bounds)
-    return LevelOutcome(level=level_no, assign=assign, stats=stats, passes=len(movers) // 2,
-                        half_passes=len(movers), movers=movers, message_rows=message_rows, score=score,
+    return LevelOutcome(level=level_no, assign=at.assign, stats=stats, passes=len(movers) // 2,
+                        half_passes=len(movers), movers=movers, message_rows=at.message_rows, score=score,
                         reported_score=reported, communities=int(bounds["communities"]),
                         seconds=time.time() - t0, guarded=guarded)
 
@@ -181,6 +220,10 @@ def level_state(outcome: LevelOutcome) -> DataFrame:
                     "n", "t", "a", "changed"))
 
 
+def _first_paths(outcome: LevelOutcome) -> DataFrame:
+    return outcome.assign.select(F.col("id").alias("vertex"), F.array("community").alias("path"))
+
+
 LEVELS_SCHEMA = ("level INT, score DOUBLE, reported_score DOUBLE, passes INT, communities BIGINT, "
                  "best_level BOOLEAN")
 
@@ -199,7 +242,7 @@ def detect(spark: SparkSession, edges: DataFrame, min_progress: int = 2000, prog
            on_final: Callable[[int, float, DataFrame], None] | None = None,
            on_membership: Callable[[int, DataFrame], None] | None = None,
            max_levels: int | None = None, max_half_passes: int = MAX_HALF_PASSES,
-           compress_by: str = "reported") -> Result:
+           compress_by: str = "reported", journal: Journal | None = None) -> Result:
     """Multi-level community detection. ``edges`` has columns src, dst, weight.
 
     ``partitions`` (default ``spark.sql.shuffle.partitions``) is the most that a level's edges are
@@ -212,18 +255,44 @@ def detect(spark: SparkSession, edges: DataFrame, min_progress: int = 2000, prog
     a + t) or "score" (denominator t).
 
     Communities of a vertex are kept as one array per vertex, a community per level.
+
+    With a ``journal`` the run commits after every whole pass and every level. If the journal holds commits, the
+    run goes on from the last one, with equal results, and doesn't read ``edges`` again. Hooks of
+    a level whose end was not committed are called again, those of earlier levels are not.
     """
     if compress_by not in ("reported", "score"):
         raise ValueError(f"unknown score {compress_by!r}")
     ensure_checkpoint_dir(spark)
     P = partitions or shuffle_partitions(spark)
-    level = build_level(prepare_edges(edges, self_loops), P, hot_floor=hot_floor)
+    found = journal.last() if journal is not None else None
     outcomes: list[LevelOutcome] = []
     states: list[DataFrame] = []
     paths: DataFrame | None = None  # (vertex, path): the vertex's community on each level so far
+    progress: Progress | None = None
     best = 0.0
     level_no = -1
-    if level.vertices == 0:
+    if found is None:
+        level = build_level(prepare_edges(edges, self_loops), P, hot_floor=hot_floor)
+    else:
+        level = reopen_level(spark, found["level"], P, hot_floor) if found["level"] else None
+        outcomes = [LevelOutcome.reopen(spark, o) for o in found["outcomes"]]
+        states = [level_state(o) for o in outcomes]
+        if found["paths"]:
+            paths = reopen_table(spark, found["paths"])
+        elif outcomes:
+            paths = _first_paths(outcomes[0])
+        if found["progress"]:
+            progress = Progress.reopen(spark, found["progress"])
+        best, level_no = found["best"], len(outcomes) - 1
+        log.info("going on at level %d after %d half-passes", level_no + 1, len(progress.movers) if progress else 0)
+
+    def commit(at: Progress | None) -> None:
+        if journal is not None:
+            journal.commit({"level": level.record() if level else None, "outcomes": [o.record() for o in outcomes], "best": best,
+                            "paths": table_record(paths) if len(outcomes) > 1 else None,
+                            "progress": at.record() if at else None})
+
+    if level is not None and level.vertices == 0:
         level.release()
         rows, state, levels = _empty_result(spark)
         if on_level is not None:
@@ -233,15 +302,19 @@ def detect(spark: SparkSession, edges: DataFrame, min_progress: int = 2000, prog
         if on_final is not None:
             on_final(0, 0.0, state)
         return Result(membership=rows, state=state, levels=levels, outcomes=[])
-    while True:
+    if found is None:
+        commit(None)
+    while level is not None:  # after the last level, a commit has none
         level_no += 1
         first_stats = moves.with_hot(level, initial_stats(level)) if level_no == 0 else None
-        out = local_moving(spark, level, level_no, min_progress, progress_counter, first_stats, max_half_passes)
+        out = local_moving(spark, level, level_no, min_progress, progress_counter, first_stats, max_half_passes,
+                           progress, commit)
+        progress = None
         outcomes.append(out)
         state = level_state(out)
         states.append(state)
         if paths is None:
-            paths = out.assign.select(F.col("id").alias("vertex"), F.array("community").alias("path"))
+            paths, shorter = _first_paths(out), None
         else:
             # Hypernodes holding more than twice a partition's share of the original vertices
             # are joined by broadcast (at most ``P / 2`` of them), the rest by shuffle.
@@ -250,9 +323,7 @@ def detect(spark: SparkSession, edges: DataFrame, min_progress: int = 2000, prog
                                     (F.col("int_n") > F.lit(heavy)).alias("hot"))
             longer = lookup(paths.withColumn("last", F.element_at("path", -1)), dim, "last")
             longer = materialize(longer.select("vertex", F.concat("path", F.array("next")).alias("path")))
-            if level_no > 1:
-                discard(paths)
-            paths = longer
+            paths, shorter = longer, paths if level_no > 1 else None
         if on_level is not None:
             on_level(level_no, out.reported_score, state)
         if on_membership is not None:
@@ -262,17 +333,15 @@ def detect(spark: SparkSession, edges: DataFrame, min_progress: int = 2000, prog
         improved = out.passes > 2 and reached > best + IMPROVEMENT_EPS
         if max_levels is not None and level_no + 1 >= max_levels:
             improved = False
-        if not improved:
-            break
-        best = reached
-        nxt = compress(level, out, hot_floor)
-        # All that later levels need of this one is checkpointed: its hypernodes and edges, the
+        best = reached if improved else best
+        # All that later levels need of this one is written: its hypernodes and edges, the
         # paths, its state and statistics.
-        level.release()
-        level = nxt
+        done, level = level, compress(level, out, hot_floor) if improved else None
+        commit(None)
+        done.release()
+        discard(shorter)
     if on_final is not None:
         on_final(level_no, best, states[-1])
-    level.release()
     best_idx = max(range(len(outcomes)), key=lambda i: (outcomes[i].reported_score, -i))
     rows = [(o.level, o.score, o.reported_score, o.passes, o.communities, i == best_idx)
             for i, o in enumerate(outcomes)]
