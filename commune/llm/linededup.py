@@ -5,9 +5,9 @@ end, A-Z lower-cased; keys travel as 128 bits of hash. A key of at least ``min_c
 that stands in at least ``min_docs`` documents loses all its lines except those of the largest
 doc_id holding it. The other lines stay, in their order, joined by ``\\n``.
 
-Plan. Long enough lines are exploded and hashed. A first, map-side combined aggregate counts lines
-per key; keys with fewer lines than ``min_docs`` can't qualify, and most keys are such. Only the
-rest's lines are written (hashes, ids and positions, no text), and distinct documents are counted on
+Plan. Long enough lines are exploded, hashed and written (hashes, ids and positions, no text). A first, map-side
+combined aggregate counts lines per key; keys with fewer lines than ``min_docs`` can't qualify, and most keys are
+such. Only the rest's lines are gone on with, and distinct documents are counted on
 them. A key that holds more lines than twice a partition's share (at most half as many keys as
 partitions) meets its lines by a broadcast of those keys, all others by a shuffle. Positions to
 drop are gathered per document, of which none has more than its lines, and the texts are put
@@ -73,7 +73,8 @@ def _with_hot(keys: DataFrame, partitions: int) -> DataFrame:
 def dropped_lines(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc_id, row_id, drop): the positions that a document's row loses, ascending."""
     partitions = shuffle_partitions(documents.sparkSession)
-    lines = long_lines(documents, min_chars)
+    # Three readers: written once (32 bytes a line before packing, no text), not cut and hashed thrice.
+    lines = cut(long_lines(documents, min_chars))
     often = cut(lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("lines")).where(F.col("lines") >= min_docs))
     often = _with_hot(often.withColumnRenamed("h2", "key_h2"), partitions)
     shared = cut(lookup(lines, often, "h1").where(F.col("h2") == F.col("key_h2")).drop("key_h2", "lines"))

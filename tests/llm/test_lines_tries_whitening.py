@@ -281,3 +281,18 @@ def test_whitening_edges(spark):
     assert whitening.whiten(spark.createDataFrame(same, schema)).count() == 0
     assert whitening.whiten(spark.createDataFrame([], schema)).count() == 0
     assert whitening.whiten(spark.createDataFrame([(1, [], 0)], schema)).count() == 0
+
+
+def test_lines_are_cut_and_hashed_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    line = "a line that stands in all of the documents of this table"
+    docs = spark.createDataFrame([(k, f"{line}\nown {k}") for k in range(8)], "doc_id BIGINT, text STRING")
+    lost = linededup.dropped_lines(docs.mapInPandas(counted, docs.schema)).collect()
+    assert sorted((r.doc_id, r.drop) for r in lost) == [(k, [0]) for k in range(7)]
+    assert read.value == 8
