@@ -74,3 +74,32 @@ def test_statistics_of_a_million_communities_are_broadcast(spark):
         assert not broadcast_ok(spark, 1, least_limit=loops.STATS_BYTES)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("graph,hot_floor", [("part_supp", 20), ("odd", 20), ("no_loops", 1)])
+def test_touched_statistics_alone_give_what_full_messages_give(spark, graph, hot_floor, monkeypatch):
+    edges = {"part_supp": lambda: tables.part_supp(spark, SF001), "odd": lambda: edges_df(spark, ODD),
+             "no_loops": lambda: edges_df(spark, [e for e in ODD if e[0] != e[1]])}[graph]()
+    level = build_level(loops.prepare_edges(edges), 8, hot_floor=hot_floor)
+    assert level.partitions > 1 and level.salted == (hot_floor == 1)
+    assert level.counts.loops == {"part_supp": 0, "odd": 2, "no_loops": 0}[graph]
+    first = moves.with_hot(level, initial_stats(level))
+    monkeypatch.setattr(loops, "FRONTIER_MOVERS", -1.0)
+    # All communities are too many to broadcast at first, the touched ones aren't.
+    real, patched = loops._patched_half_pass, []
+    monkeypatch.setattr(loops, "_patched_half_pass", lambda *a: patched.append(a) or real(*a))
+    cached = set(spark.sparkContext._jsc.getPersistentRDDs())
+    found = []
+    for share, bound in ((-1.0, -1), (1.0, level.vertices // 4)):
+        monkeypatch.setattr(loops, "KEPT_ROWS", share)
+        monkeypatch.setattr(loops, "_few_communities", lambda _s, _l, n, bound=bound: n <= bound)
+        found.append(loops.local_moving(spark, level, 0, 2000, 1, first))
+    full, kept = found
+    assert patched and full.movers == kept.movers
+    assert (full.score, full.reported_score) == (kept.score, kept.reported_score)
+    cols = ["id", "community", "changed", "prev", "n", "a", "t", "own_value", "best_gain", "best_c"]
+    assert rows(full.assign.select(cols)) == rows(kept.assign.select(cols)) and rows(full.stats) == rows(kept.stats)
+    # After the first half-pass statistics stand that self-loops aren't in: the second one makes all messages anew.
+    assert kept.sent_rows[1] == level.sym_rows or graph != "odd"
+    level.release()
+    assert set(spark.sparkContext._jsc.getPersistentRDDs()) <= cached
