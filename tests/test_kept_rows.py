@@ -3,6 +3,7 @@
 import pytest
 
 from commune.operators import moves
+from commune.operators.compress import compress_edges
 from commune.operators.graph import build_level, initial_stats, materialize, singleton_assignment
 from commune.plans import detect as loops
 from commune.session import broadcast_ok
@@ -103,3 +104,48 @@ def test_touched_statistics_alone_give_what_full_messages_give(spark, graph, hot
     assert kept.sent_rows[1] == level.sym_rows or graph != "odd"
     level.release()
     assert set(spark.sparkContext._jsc.getPersistentRDDs()) <= cached
+
+
+@pytest.mark.parametrize("graph", ["part_supp", "odd"])
+def test_broadcast_senders_shuffle_no_message(spark, graph, monkeypatch):
+    edges = edges_df(spark, ODD) if graph == "odd" else tables.part_supp(spark, SF001)
+    level = build_level(loops.prepare_edges(edges), 8, hot_floor=100 if graph == "odd" else 300)
+    assert level.partitions > 1 and not level.salted and loops._in_place(spark, level, level.vertices)
+    assign = materialize(singleton_assignment(level))
+    stats = materialize(moves.with_hot(level, initial_stats(level)))
+    new, cached, parts = loops._half_pass(spark, level, assign, stats, True, level.vertices)
+    state = materialize(new)
+    assert state.where("changed").count() > 0
+    exchanges = []
+    for make in (lambda p: moves.moved_parts(level, state, parts, True, p),
+                 lambda p: moves.incident_parts(level, state, moves.statistics(level, state), p)):
+        sent, met = make(False), make(True)
+        assert [rows(x) for x in sent] == [rows(x) for x in met]
+        flagged = moves.flagged_parts(level, moves.vertex_table(level, state), make(True))[0]
+        flagged.count()
+        text = flagged._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        exchanges.append([line for line in text.splitlines() if "REPARTITION_BY_NUM" in line])
+    # Only the table of vertices is laid out for the movers.
+    assert len(exchanges[0]) == 1
+    assert rows(moves.statistics(level, state, in_place=True)) == rows(moves.statistics(level, state))
+    assert rows(compress_edges(level, state, in_place=True)) == rows(compress_edges(level, state))
+    for df in [*cached, *parts]:
+        df.unpersist()
+    level.release()
+
+
+@pytest.mark.parametrize("few", [False, True])
+def test_broadcast_senders_give_what_messages_give(spark, few, monkeypatch):
+    level = build_level(loops.prepare_edges(edges_df(spark, ODD)), 8, hot_floor=70)
+    assert level.partitions > 1 and not level.salted
+    first = moves.with_hot(level, initial_stats(level))
+    monkeypatch.setattr(loops, "FRONTIER_MOVERS", -1.0)
+    monkeypatch.setattr(loops, "_few_communities", lambda _s, _l, n: few or n <= level.vertices // 4)
+    found = []
+    for in_place in (False, True):
+        monkeypatch.setattr(loops, "_in_place", lambda *_, in_place=in_place: in_place)
+        found.append(loops.local_moving(spark, level, 0, 2000, 1, first))
+    sent, met = found
+    assert sent.movers == met.movers and (sent.score, sent.reported_score) == (met.score, met.reported_score)
+    assert rows(sent.assign) == rows(met.assign) and rows(sent.stats) == rows(met.stats)
+    level.release()
