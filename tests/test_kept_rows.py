@@ -4,7 +4,7 @@ import pytest
 
 from commune.operators import moves
 from commune.operators.compress import compress_edges
-from commune.operators.graph import build_level, initial_stats, materialize, singleton_assignment
+from commune.operators.graph import DEGREE_STEPS, build_level, initial_stats, materialize, singleton_assignment
 from commune.plans import detect as loops
 from commune.session import broadcast_ok
 from commune.sources import tables
@@ -106,29 +106,32 @@ def test_touched_statistics_alone_give_what_full_messages_give(spark, graph, hot
     assert set(spark.sparkContext._jsc.getPersistentRDDs()) <= cached
 
 
-@pytest.mark.parametrize("graph", ["part_supp", "odd"])
-def test_broadcast_senders_shuffle_no_message(spark, graph, monkeypatch):
+@pytest.mark.parametrize("graph,least", [("part_supp", 0), ("part_supp", 40), ("odd", 5)])
+def test_broadcast_senders_shuffle_no_message(spark, graph, least):
     edges = edges_df(spark, ODD) if graph == "odd" else tables.part_supp(spark, SF001)
     level = build_level(loops.prepare_edges(edges), 8, hot_floor=100 if graph == "odd" else 300)
-    assert level.partitions > 1 and not level.salted and loops._in_place(spark, level, level.vertices)
+    assert level.partitions > 1 and not level.salted and loops._in_place(spark, level, level.vertices) == 0
+    degrees = [r.deg_cnt for r in level.vert.collect()]
+    assert least == 0 or 0 < sum(d >= least for d in degrees) < len(degrees)
     assign = materialize(singleton_assignment(level))
     stats = materialize(moves.with_hot(level, initial_stats(level)))
     new, cached, parts = loops._half_pass(spark, level, assign, stats, True, level.vertices)
     state = materialize(new)
     assert state.where("changed").count() > 0
     exchanges = []
-    for make in (lambda p: moves.moved_parts(level, state, parts, True, p),
-                 lambda p: moves.incident_parts(level, state, moves.statistics(level, state), p)):
-        sent, met = make(False), make(True)
-        assert [rows(x) for x in sent] == [rows(x) for x in met]
-        flagged = moves.flagged_parts(level, moves.vertex_table(level, state), make(True))[0]
+    for make in (lambda d: moves.moved_parts(level, state, parts, True, d),
+                 lambda d: moves.incident_parts(level, state, moves.statistics(level, state), d)):
+        assert [rows(x) for x in make(None)] == [rows(x) for x in make(least)]
+        flagged = moves.flagged_parts(level, moves.vertex_table(level, state), make(least))[0]
         flagged.count()
         text = flagged._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
-        exchanges.append([line for line in text.splitlines() if "REPARTITION_BY_NUM" in line])
-    # Only the table of vertices is laid out for the movers.
-    assert len(exchanges[0]) == 1
-    assert rows(moves.statistics(level, state, in_place=True)) == rows(moves.statistics(level, state))
-    assert rows(compress_edges(level, state, in_place=True)) == rows(compress_edges(level, state))
+        exchanges.append(text)
+    # For the movers only tables of vertices and messages of light ones are laid out, by no exchange of Spark's.
+    assert "ENSURE_REQUIREMENTS" not in exchanges[0]
+    assert least or exchanges[0].count("REPARTITION_BY_NUM") == 1
+    for touched in (None, moves.touched_communities(state)):
+        assert rows(moves.statistics(level, state, touched, least)) == rows(moves.statistics(level, state, touched))
+    assert rows(compress_edges(level, state, in_place=least)) == rows(compress_edges(level, state))
     for df in [*cached, *parts]:
         df.unpersist()
     level.release()
@@ -142,10 +145,29 @@ def test_broadcast_senders_give_what_messages_give(spark, few, monkeypatch):
     monkeypatch.setattr(loops, "FRONTIER_MOVERS", -1.0)
     monkeypatch.setattr(loops, "_few_communities", lambda _s, _l, n: few or n <= level.vertices // 4)
     found = []
-    for in_place in (False, True):
+    for in_place in (None, 0, 5):
         monkeypatch.setattr(loops, "_in_place", lambda *_, in_place=in_place: in_place)
         found.append(loops.local_moving(spark, level, 0, 2000, 1, first))
-    sent, met = found
-    assert sent.movers == met.movers and (sent.score, sent.reported_score) == (met.score, met.reported_score)
-    assert rows(sent.assign) == rows(met.assign) and rows(sent.stats) == rows(met.stats)
+    sent = found[0]
+    for met in found[1:]:
+        assert sent.movers == met.movers and (sent.score, sent.reported_score) == (met.score, met.reported_score)
+        assert rows(sent.assign) == rows(met.assign) and rows(sent.stats) == rows(met.stats)
+    level.release()
+
+
+def test_heavy_senders_are_few(spark, monkeypatch):
+    level = build_level(loops.prepare_edges(tables.part_supp(spark, SF001)), 8, hot_floor=300)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64")
+        counts = [level.vert.where(f"deg_cnt >= {d}").count() for d in DEGREE_STEPS]
+        assert level.counts.heavy == counts
+        most = next(n for n in counts if n < level.vertices)
+        monkeypatch.setattr(loops, "SENDER_BYTES", 64 * most)
+        assert loops._in_place(spark, level, most) == 0
+        assert loops._in_place(spark, level, most + 1) == DEGREE_STEPS[counts.index(most)]
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert loops._in_place(spark, level, 1) is None
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     level.release()
