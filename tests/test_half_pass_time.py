@@ -4,9 +4,10 @@ import pytest
 
 from commune.operators import moves
 from commune.operators.graph import build_level, initial_stats, materialize, singleton_assignment
+from commune.plans import catalog
 from commune.plans import detect as loops
 from commune.session import CACHE_ENCODED
-from tests.conftest import edges_df
+from tests.conftest import SF001, edges_df
 
 EDGES = [(a, b, (a * b) % 5 - 1) for a in range(1, 24) for b in range(a, 24, 1 + a % 4)] + [
     (5, 2, 4), (2, 5, 4), (None, 4, 1), (4, None, 2), (None, None, 3)] + [(100, 101 + k, 1) for k in range(200)]
@@ -62,3 +63,10 @@ def test_only_the_first_half_pass_has_single_vertices_and_no_cached_rows_are_enc
     assert len(encoded) > out.half_passes and set(encoded) == {"false"}
     assert spark.conf.get(CACHE_ENCODED) == before
     level.release()
+
+
+def test_what_hooks_were_given_can_be_read_after_three_levels(spark):
+    given = catalog.q_level_hooks(spark, SF001).groupBy("hook", "level").count().collect()
+    vertices = {r["count"] for r in given if r["hook"] == "membership"}
+    assert len(vertices) == 1 and sorted(r["level"] for r in given if r["hook"] == "membership") == [0, 1, 2]
+    assert sorted(r["level"] for r in given if r["hook"] != "membership") == [0, 1, 2, 2]
